@@ -223,38 +223,58 @@ def crosstab_row_percent(df: DataFrame, rows: str, columns: str,
     """Counts normalised per row times 100; one column per value of the domain, sorted."""
     names = sorted(values)
     counts = (df.filter(_c(rows).isNotNull() & _c(columns).isin(names)).groupBy(_c(rows))
-              .pivot(columns, names).agg(F.count("*")))
+              .pivot(columns, names).agg(F.count(F.lit(1))))
     filled = {n: F.coalesce(_c(n), F.lit(0)) for n in names}
     total = sum(filled.values(), F.lit(0))
     return counts.select(_c(rows), *[(v / total * 100).alias(n) for n, v in filled.items()])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix over pairwise complete rows: one row per column, one aggregate in all.
+    """Pearson matrix over pairwise complete rows, one row per column of the matrix.
 
     Absent columns are skipped, fewer than two give an empty table, a constant column null.
+
+    Values are centred by the column means, so plain sums of products lose no digits, and they
+    are summed per pattern of missing columns: within a pattern every pair has the same rows, so
+    one sum per column and one per pair suffice. A pair then adds up the patterns it is in.
     """
     used = [c for c in columns if c in df.columns]
-    if len(used) < 2:
+    d = len(used)
+    if d < 2:
         return df.sparkSession.createDataFrame([], "feature string")
     numbers = df.select(*[_number(c).alias(f"x{i}") for i, c in enumerate(used)])
-    aggs = [F.stddev_pop(f"x{i}").alias(f"s_{i}_{i}") for i in range(len(used))]
-    pairs = [(i, j) for i in range(len(used)) for j in range(i + 1, len(used))]
-    for i, j in pairs:
-        both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
-        a, b = F.when(both, F.col(f"x{i}")), F.when(both, F.col(f"x{j}"))
-        aggs.append(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-                    .alias(f"s_{i}_{j}"))
-    row = numbers.agg(*aggs)
-
-    def cell(i: int, j: int) -> Column:
-        if i == j:
-            return F.when(F.col(f"s_{i}_{i}") > 0, F.lit(1.0))
-        return F.col(f"s_{min(i, j)}_{max(i, j)}")
-
-    lines = [F.struct(F.lit(c).alias("feature"), *[cell(i, j).alias(d) for j, d in enumerate(used)])
-             for i, c in enumerate(used)]
-    return row.select(F.inline(F.array(*lines)))
+    means = numbers.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)])
+    centred = with_scalars(numbers, means).select(
+        *[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(d)])
+    pattern = F.concat(*[F.when(F.col(f"x{i}").isNull(), F.lit("0")).otherwise(F.lit("1"))
+                         for i in range(d)])
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = centred.groupBy(pattern.alias("pattern")).agg(
+        F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s_{i}") for i in range(d)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}") for i, j in pairs])
+
+    def product(i: int, j: int) -> Column:
+        return F.col(f"p_{min(i, j)}_{max(i, j)}")
+
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n"), F.col(f"s_{i}").alias("si"),
+                 F.col(f"s_{j}").alias("sj"), product(i, i).alias("sii"), product(j, j).alias("sjj"),
+                 product(i, j).alias("sij")) for i in range(d) for j in range(d)])
+    both = F.col("sij").isNotNull()
+    total = {c: F.sum(F.when(both, F.col(c))) for c in ("n", "si", "sj", "sii", "sjj", "sij")}
+    cells = (sums.select(F.inline(entries)).groupBy("i", "j")
+             .agg(*[v.alias(c) for c, v in total.items()]))
+    n = F.col("n")
+    spread_i = F.col("sii") - F.col("si") * F.col("si") / n
+    spread_j = F.col("sjj") - F.col("sj") * F.col("sj") / n
+    shared = F.col("sij") - F.col("si") * F.col("sj") / n
+    both_vary = (spread_i > 0) & (spread_j > 0)
+    r = F.when(both_vary, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shared / F.sqrt(spread_i * spread_j)))))
+    name = F.get(F.array(*[F.lit(c) for c in used]), F.col("i"))
+    return (cells.withColumn("r", r).groupBy("i")
+            .agg(*[F.max(F.when(F.col("j") == j, F.col("r"))).alias(c) for j, c in enumerate(used)])
+            .orderBy("i").select(name.alias("feature"), *[_c(c) for c in used]))
 
 
 def kpis(df: DataFrame, region: str, status: str, score: str, lagging: Sequence[str],

@@ -44,42 +44,37 @@ def exact_quantiles(df: DataFrame, wanted: Wanted, group: list[str] | None = Non
 
     # Bins of a group are bounded in number, so this running sum is small.
     whole = Window.partitionBy(*keys, "measure")
+    probabilities = sorted({p for _, p in wanted.values()})
     bins = (counts.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("in_bin"))
             .withColumn("total", F.sum("in_bin").over(whole))
-            .withColumn("before", F.sum("in_bin").over(whole.orderBy("bin")) - F.col("in_bin")))
-    chosen = (bins.filter(_holds_any_rank(wanted))
+            .withColumn("before", F.sum("in_bin").over(whole.orderBy("bin")) - F.col("in_bin"))
+            .withColumn("ranks", F.array(*[f(_rank(p)) for p in probabilities
+                                           for f in (F.floor, F.ceil)])))
+    chosen = (bins.filter(F.exists("ranks", lambda k: (k >= F.col("before"))
+                                   & (k < F.col("before") + F.col("in_bin"))))
               .select(*keys, "measure", "bin", "total", "before"))
 
     inside = Window.partitionBy(*keys, "measure", "bin").orderBy("value")
     located = (counts.join(chosen, [*group, "measure", "bin"])
-               .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-               .withColumn("start", F.col("upto") - F.col("n")))
-    return located.groupBy(*keys).agg(
-        *[_interpolated(c, p).alias(name) for name, (c, p) in wanted.items()])
+               .withColumn("upto", F.col("before") + F.sum("n").over(inside)))
+    found = located.groupBy(*keys, "measure").agg(
+        *[_interpolated(p).alias(f"q{i}") for i, p in enumerate(probabilities)])
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("measure") == c, F.col(f"q{probabilities.index(p)}"))).alias(name)
+          for name, (c, p) in wanted.items()])
 
 
 def _rank(p: float) -> Column:
     return F.lit(float(p)) * (F.col("total") - 1)
 
 
-def _holds_any_rank(wanted: Wanted) -> Column:
-    tests = []
-    for column, p in wanted.values():
-        for rank in (F.floor(_rank(p)), F.ceil(_rank(p))):
-            tests.append((F.col("measure") == column) & (rank >= F.col("before"))
-                         & (rank < F.col("before") + F.col("in_bin")))
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _interpolated(column: str, p: float) -> Column:
-    def at(rank: Column) -> Column:
-        here = (F.col("measure") == column) & (rank >= F.col("start")) & (rank < F.col("upto"))
-        return F.max(F.when(here, F.col("value")))
-
-    low, high = at(F.floor(_rank(p))), at(F.ceil(_rank(p)))
+def _interpolated(p: float) -> Column:
+    # The smallest value whose rows reach beyond a rank is the value at that rank; bins
+    # between the chosen ones hold no wanted rank.
+    low, high = (F.min(F.when(F.col("upto") > f(_rank(p)), F.col("value"))) for f in (F.floor, F.ceil))
     if p == 0.5:
         return (low + high) / 2
-    part = F.max(F.when(F.col("measure") == column, _rank(p) - F.floor(_rank(p))))
+    part = F.max(_rank(p) - F.floor(_rank(p)))
     # Equal ends are returned as they are: inf - inf would be NaN.
     return F.when(low == high, low).otherwise(low + (high - low) * part)
 
