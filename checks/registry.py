@@ -1,6 +1,6 @@
 """Every registered query."""
 
-from checks import aggregates, cleaning, features  # noqa: F401
+from checks import aggregates, cleaning, features, files, models  # noqa: F401
 from checks.bindings import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -246,34 +246,26 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     means = numbers.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)])
     centred = with_scalars(numbers, means).select(
         *[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(d)])
-    pattern = F.concat(*[F.when(F.col(f"x{i}").isNull(), F.lit("0")).otherwise(F.lit("1"))
-                         for i in range(d)])
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = centred.groupBy(pattern.alias("pattern")).agg(
-        F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s_{i}") for i in range(d)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}") for i, j in pairs])
-
-    def product(i: int, j: int) -> Column:
-        return F.col(f"p_{min(i, j)}_{max(i, j)}")
-
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n"), F.col(f"s_{i}").alias("si"),
-                 F.col(f"s_{j}").alias("sj"), product(i, i).alias("sii"), product(j, j).alias("sjj"),
-                 product(i, j).alias("sij")) for i in range(d) for j in range(d)])
-    both = F.col("sij").isNotNull()
-    total = {c: F.sum(F.when(both, F.col(c))) for c in ("n", "si", "sj", "sii", "sjj", "sij")}
-    cells = (sums.select(F.inline(entries)).groupBy("i", "j")
-             .agg(*[v.alias(c) for c, v in total.items()]))
-    n = F.col("n")
-    spread_i = F.col("sii") - F.col("si") * F.col("si") / n
-    spread_j = F.col("sjj") - F.col("sj") * F.col("sj") / n
-    shared = F.col("sij") - F.col("si") * F.col("sj") / n
-    both_vary = (spread_i > 0) & (spread_j > 0)
-    r = F.when(both_vary, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shared / F.sqrt(spread_i * spread_j)))))
+    pattern = "concat(" + ", ".join(f"if(x{i} IS NULL, '0', '1')" for i in range(d)) + ")"
+    sums = centred.groupBy(F.expr(pattern).alias("pattern")).agg(F.count("*").alias("n"), *[
+        F.expr(f"{f}(x{i}) AS {f}_{i}") for i in range(d) for f in ("sum", "min", "max")], *[
+        F.expr(f"sum(x{i} * x{j}) AS p_{i}_{j}") for i in range(d) for j in range(i, d)])
+
+    entries = ", ".join(
+        f"struct({i} AS i, {j} AS j, n, sum_{i} AS si, sum_{j} AS sj, p_{i}_{i} AS sii, "
+        f"p_{j}_{j} AS sjj, p_{min(i, j)}_{max(i, j)} AS sij, min_{i} AS lo_i, max_{i} AS hi_i, "
+        f"min_{j} AS lo_j, max_{j} AS hi_j)" for i in range(d) for j in range(d))
+    totals = [F.expr(f"{f}({c}) FILTER (WHERE sij IS NOT NULL) AS {c}") for f, c in (
+        *(("sum", c) for c in ("n", "si", "sj", "sii", "sjj", "sij")),
+        *((f, f"{e}_{k}") for f, e in (("min", "lo"), ("max", "hi")) for k in "ij"))]
+    cells = sums.selectExpr(f"inline(array({entries}))").groupBy("i", "j").agg(*totals)
+    shared = "(sij - si * sj / n) / nullif("
+    shared += "sqrt(greatest(sii - si * si / n, 0D) * greatest(sjj - sj * sj / n, 0D)), 0D)"
+    r = F.expr(f"CASE WHEN lo_i < hi_i AND lo_j < hi_j "
+               f"THEN if(i = j, 1.0D, greatest(-1.0D, least(1.0D, {shared}))) END")
     name = F.get(F.array(*[F.lit(c) for c in used]), F.col("i"))
     return (cells.withColumn("r", r).groupBy("i")
-            .agg(*[F.max(F.when(F.col("j") == j, F.col("r"))).alias(c) for j, c in enumerate(used)])
+            .agg(*[F.expr(f"max(r) FILTER (WHERE j = {j})").alias(c) for j, c in enumerate(used)])
             .orderBy("i").select(name.alias("feature"), *[_c(c) for c in used]))
 
 
