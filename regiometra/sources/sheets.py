@@ -6,6 +6,7 @@ of a line within its file comes from the split it is in and its place in that sp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql.window import Window
 
 from regiometra.functions import trim_all
 from regiometra.operators.cleaning import forward_fill
+from regiometra.session import stage
+from regiometra.sources.tables import BOM
 
 _FILES_TO_BROADCAST = 20_000
 
@@ -22,13 +25,16 @@ def read_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> D
     """(file_path, row_no, line): every line of every file with its 0-based position.
 
     Positions are dense within a file: lines before the split (a running sum over one row
-    per split) plus the place within the split.
+    per split) plus the place within the split. The tagged lines are staged, because how
+    files are cut into splits may change from one job to the next, and as columns the tags
+    can be read without the text.
     """
-    lines = (spark.read.option("ignoreCorruptFiles", ignore_corrupt)
-             .option("recursiveFileLookup", True).text(path)
-             .select(F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_block_start").alias("_split"),
-                     F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")))
+    text = (spark.read.option("ignoreCorruptFiles", ignore_corrupt)
+            .option("recursiveFileLookup", True).text(path)
+            .select(F.col("_metadata.file_path").alias("file_path"),
+                    F.col("_metadata.file_block_start").alias("_split"),
+                    F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")))
+    lines = stage(text, "sheet-lines")
     splits = lines.groupBy("file_path", "_split").agg(F.min("_at").alias("_first"),
                                                        F.count("*").alias("_lines"))
     earlier = (Window.partitionBy("file_path").orderBy("_split")
@@ -40,16 +46,24 @@ def read_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> D
                     "line"))
 
 
-def _cells(line: Column, width: int, separator: str) -> Column:
-    """Cells of one CSV line as an array; empty cells are null."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv(line, schema, {"sep": separator, "escape": '"'})
-    return F.array(*[F.nullif(parsed.getField(f"c{i}"), F.lit("")) for i in range(width)])
+def _cells(line: Column, separator: str) -> Column:
+    """Raw cells of one CSV line, quotes still on; any number of them, in one pass."""
+    sep = re.escape(separator)
+    cell = rf"{sep}(\"[^\"]*+(?:\"\"[^\"]*+)*+\"|[^{sep}]*+)"
+    return F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(cell), F.lit(1))
+
+
+def _unquoted(cell: Column) -> Column:
+    """Cell text without its quotes; an empty cell is null."""
+    inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    quoted = cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1)
+    return F.nullif(F.when(quoted, inner).otherwise(cell), F.lit(""))
 
 
 def _normal_names(cells: Column) -> Column:
-    """Header names stripped and upper-cased, a byte order mark removed."""
-    return F.transform(cells, lambda c: F.upper(trim_all(F.regexp_replace(c, "^﻿", ""))))
+    """Header names stripped and upper-cased, a byte order mark removed; blank ones are null."""
+    bare = F.transform(cells, lambda c: F.upper(trim_all(_unquoted(F.replace(c, F.lit(BOM))))))
+    return F.transform(bare, lambda c: F.nullif(c, F.lit("")))
 
 
 def normalize_header(df: DataFrame) -> DataFrame:
@@ -66,27 +80,25 @@ class SheetFolder:
     """
 
     def __init__(self, spark: SparkSession, path: str, header_row: int = 3,
-                 required: Sequence[str] = (), separator: str = ",", max_columns: int = 256):
+                 required: Sequence[str] = (), separator: str = ","):
         self.spark = spark
         self.header_row = header_row
         self.separator = separator
         self._lines = read_lines(spark, path)
-        broken = F.col("line").contains("�") | F.col("line").contains("\x00")
+        broken = F.col("line").contains("\ufffd") | F.col("line").contains("\x00")
         header_line = F.max(F.when(F.col("row_no") == header_row, F.col("line")))
-        names = _normal_names(_cells(F.col("_header_line"), max_columns, separator))
-        # Nothing but counts of lines meets per file, combined before the shuffle.
+        # One header line and one flag per file, combined before the shuffle.
         files = (self._lines.groupBy("file_path")
-                 .agg(header_line.alias("_header_line"), F.bool_or(broken).alias("_broken"))
-                 .withColumn("header", F.coalesce(F.array_compact(names), F.array().cast("array<string>")))
-                 .withColumn("_positions", names))
-        lacking = F.array_except(F.array(*[F.lit(c) for c in required]).cast("array<string>"),
-                                 F.col("header"))
+                 .agg(header_line.alias("_line"), F.bool_or(broken).alias("_broken"))
+                 .withColumn("header", _normal_names(_cells(F.col("_line"), separator))))
+        named = F.array_compact("header")
+        wanted = F.array(*[F.lit(c) for c in required]).cast("array<string>")
+        lacking = F.array_except(wanted, named)
         error = (F.when(F.col("_broken"), F.lit("not valid text"))
-                 .when(F.size("header") == 0, F.lit("no header row"))
+                 .when(F.coalesce(F.size(named), F.lit(0)) <= 0, F.lit("no header row"))
                  .when(F.size(lacking) > 0, F.concat(F.lit("missing columns: "),
                                                      F.array_join(lacking, ", "))))
-        self._files = files.select("file_path", F.col("_positions").alias("header"),
-                                   error.alias("error"))
+        self._files = stage(files.select("file_path", "header", error.alias("error")), "sheet-headers")
 
     @property
     def rejects(self) -> DataFrame:
@@ -110,11 +122,6 @@ class SheetFolder:
         """
         layouts = self.layouts()
         names = sorted({n for header, _ in layouts for n in header if n})
-        width = max((len([1 for n in header if n]) and
-                     max(i for i, n in enumerate(header) if n) + 1 for header, _ in layouts),
-                    default=0)
-        if not width:
-            return self.spark.createDataFrame([], "file_path string, row_no bigint")
         headers = (self._files.filter(F.col("error").isNull()).select("file_path", "header"))
         if sum(files for _, files in layouts) <= _FILES_TO_BROADCAST:
             headers = F.broadcast(headers)
@@ -122,9 +129,9 @@ class SheetFolder:
                                    & (F.trim(F.col("line")) != ""))
                 .join(headers, "file_path")
                 .select("file_path", "row_no", "header",
-                        _cells(F.col("line"), width, self.separator).alias("_cells")))
+                        _cells(F.col("line"), self.separator).alias("_cells")))
         return body.select("file_path", "row_no", *[
-            F.get("_cells", F.array_position("header", F.lit(n)).cast("int") - 1).alias(n)
+            _unquoted(F.get("_cells", F.array_position("header", F.lit(n)).cast("int") - 1)).alias(n)
             for n in names])
 
 
