@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -17,9 +19,12 @@ from pyspark.sql import functions as F
 from regiometra.domain import CLUSTER_PREFIX
 from regiometra.operators.filters import sample_n
 from regiometra.operators.scalars import with_scalars
+from regiometra.session import stage
 
 # Bound of the samples the exact silhouette may see; the plans take 10000 and 15000.
 MAX_SILHOUETTE_POINTS = 20_000
+_POINTS_PER_PARTITION = 20_000
+_TOLERANCE = 1e-4
 
 
 def _scaled(value: Column, mean: Column, std: Column) -> Column:
@@ -76,15 +81,35 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
     return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)
 
 
+@contextmanager
+def cached_points(points: DataFrame) -> Iterator[DataFrame]:
+    """``points`` staged and cached for the fits, in as many partitions as they are worth.
+
+    Every iteration is a job that ships the lineage of its input, so the lineage is cut first;
+    and few points in many partitions would cost scheduling only.
+    """
+    staged = stage(points.select("features", "weight"), "points")
+    parts = max(1, -(-staged.count() // _POINTS_PER_PARTITION))
+    cached = staged.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
+
+
 def _fit_one(points: DataFrame, k: int, seed: int, max_iter: int) -> tuple[float, KMeansModel]:
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||", featuresCol="features",
-                   weightCol="weight", predictionCol="cluster").fit(points)
+    # The published tolerance bounds the summed squared shift of all centres, in units of the
+    # feature variance (1 here); Spark's bounds the shift of every single centre.
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=math.sqrt(_TOLERANCE / k),
+                   initMode="k-means||", featuresCol="features", weightCol="weight",
+                   predictionCol="cluster").fit(points)
     return model.summary.trainingCost, model
 
 
 def kmeans_fit(points: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, seed: int = 42,
-               parallelism: int = 4) -> KMeansModel:
-    """Best of ``restarts`` fits by cost. ``points`` has ``features`` and ``weight``; cache it.
+               parallelism: int = 8) -> KMeansModel:
+    """Best of ``restarts`` fits by cost. ``points`` has standardised ``features`` and ``weight``;
+    see ``cached_points``.
 
     Fits are independent jobs and run side by side; each is distributed in itself.
     """
@@ -92,7 +117,7 @@ def kmeans_fit(points: DataFrame, k: int, restarts: int = 20, max_iter: int = 50
 
 
 def kmeans_fits(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, seed: int,
-                parallelism: int = 4) -> dict[int, tuple[float, KMeansModel]]:
+                parallelism: int = 8) -> dict[int, tuple[float, KMeansModel]]:
     """Best (cost, model) for every k; ties go to the smaller seed."""
     jobs = [(k, seed + i) for k in ks for i in range(restarts)]
     run = inheritable_thread_target(points.sparkSession)(
@@ -204,13 +229,14 @@ def silhouette_fast(df: DataFrame, columns: Sequence[str], cluster: str) -> floa
 
 def k_sweep(scaled: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int] = range(2, 9),
             sample: int = 15_000, restarts: int = 20, max_iter: int = 500, seed: int = 42,
-            parallelism: int = 4) -> DataFrame:
+            parallelism: int = 8) -> DataFrame:
     """(k, wcss, silhouette) for each k, all fitted and scored on one sample."""
     taken = sample_n(scaled.select(key, *columns), sample, key, seed)
-    points = assemble(distinct_points(taken, columns), columns).persist(StorageLevel.MEMORY_AND_DISK)
+    points = distinct_points(taken, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = kmeans_fits(points, ks, restarts, max_iter, seed, parallelism)
-        labelled = points
+        with cached_points(assemble(points, columns)) as vectors:
+            fits = kmeans_fits(vectors, ks, restarts, max_iter, seed, parallelism)
+        labelled = assemble(points, columns)
         for k, (_, model) in fits.items():
             labelled = model.setPredictionCol(f"k{k}").transform(labelled)
         scores = {r["labelling"]: r["silhouette"] for r in silhouette_exact(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,13 +72,26 @@ def sample_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(f"`{key}`").cast("string")))
 
 
+def hash_slice(digest: Column) -> Column:
+    """About a million even slices of a hash, in the order of the hash."""
+    return F.substring(digest, 1, 5)
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, clamp: bool = True) -> DataFrame:
     """Exactly ``n`` rows without replacement; with fewer rows, all of them or an error.
 
-    Each task keeps its own n smallest hashes, so no row is shuffled beyond those.
+    The sample is the n smallest hashes. Counts per slice of the hash tell how far those reach,
+    so only about n rows are sorted, however many tasks read the table.
     """
     if not clamp:
         have = df.count()
         if n > have:
             raise ValueError(f"cannot take {n} rows out of {have}")
-    return df.orderBy(sample_order(key, seed), F.col(f"`{key}`")).limit(n)
+    digest = sample_order(key, seed)
+    slices = df.groupBy(hash_slice(digest).alias("_slice")).agg(F.count("*").alias("_n"))
+    # The slices are bounded in number, hence one window over all of them.
+    before = F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")
+    last = (slices.withColumn("_before", before).filter(F.col("_before") < n)
+            .agg(F.max("_slice").alias("_last")).scalar())
+    return (df.filter(hash_slice(digest) <= last)
+            .orderBy(digest, F.col(f"`{key}`")).limit(n))

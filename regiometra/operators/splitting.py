@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regiometra.operators.filters import sample_order
-
-_PREFIX = 5  # hex digits: about a million even slices of the hash
+from regiometra.operators.filters import hash_slice, sample_order
 
 
 def stratified_split(df: DataFrame, label: str, key: str, labels: Sequence[str],
@@ -24,7 +22,7 @@ def stratified_split(df: DataFrame, label: str, key: str, labels: Sequence[str],
     hashed = (df.filter(value.isin(list(labels)))
               .select(value.alias("_label"), F.col(f"`{key}`").alias("_key"),
                       sample_order(key, seed).alias("_hash"))
-              .withColumn("_slice", F.substring("_hash", 1, _PREFIX)))
+              .withColumn("_slice", hash_slice(F.col("_hash"))))
     whole = Window.partitionBy("_label")
     slices = (hashed.groupBy("_label", "_slice").agg(F.count("*").alias("_n"))
               .withColumn("_take", F.rint(F.lit(float(test)) * F.sum("_n").over(whole)))

@@ -13,6 +13,7 @@ from regiometra.domain import STATUS_ORDER, Columns
 from regiometra.operators import classification as clf
 from regiometra.operators import evaluation as ev
 from regiometra.operators.splitting import stratified_split
+from regiometra.session import stage
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,11 @@ def evaluate(models: dict[str, PipelineModel], test: DataFrame, cols: Columns =
 def classify(modeling: DataFrame, cols: Columns = Columns(), trees: int = 100, tree_depth: int = 5,
              forest_depth: int = 10, max_bins: int = 256, test: float = 0.20,
              seed: int = 42) -> Classification:
-    """Fits run at once, the tables are lazy. The forest is the model to store."""
-    table = training_table(modeling, cols, test, seed)
+    """Fits run at once, the tables are lazy. The forest is the model to store.
+
+    The split table is staged: both fits and every evaluation read it.
+    """
+    table = stage(training_table(modeling, cols, test, seed), "training")
     inputs = model_inputs(cols)
     train = (table.filter(~F.col("is_test")).select(*inputs, "label")
              .persist(StorageLevel.MEMORY_AND_DISK))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ class Segmentation:
 
 
 def fit_clusters(modeling: DataFrame, k: int, cols: Columns = Columns(), restarts: int = 20,
-                 max_iter: int = 500, seed: int = 42, parallelism: int = 4
+                 max_iter: int = 500, seed: int = 42, parallelism: int = 8
                  ) -> tuple[PipelineModel, DataFrame]:
     """Pipeline and centroids (original units) of the best of ``restarts`` fits on all rows."""
     scaler = km.Scaler.fit(modeling, cols.indices)
@@ -34,11 +33,8 @@ def fit_clusters(modeling: DataFrame, k: int, cols: Columns = Columns(), restart
     inputs = [f"_z{i}" for i in range(d)]
     distinct = km.distinct_points(modeling, cols.indices)
     points = km.assemble(scaler.stage().transform(distinct), inputs)
-    points = points.select("features", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best = km.kmeans_fit(points, k, restarts, max_iter, seed, parallelism)
-    finally:
-        points.unpersist()
+    with km.cached_points(points) as vectors:
+        best = km.kmeans_fit(vectors, k, restarts, max_iter, seed, parallelism)
     model = km.cluster_model(scaler, best, cols.cluster, cols.cluster_label)
     return model, km.centroids(scaler, best, modeling, cols.cluster)
 
@@ -65,7 +61,7 @@ def final_silhouette(clustered: DataFrame, cols: Columns = Columns(), sample: in
 
 def segment(modeling: DataFrame, cols: Columns = Columns(), ks: Sequence[int] = range(2, 9),
             restarts: int = 20, max_iter: int = 500, sample: int = 15_000,
-            silhouette_sample: int = 10_000, seed: int = 42, parallelism: int = 4) -> Segmentation:
+            silhouette_sample: int = 10_000, seed: int = 42, parallelism: int = 8) -> Segmentation:
     """The whole flow; the sweep, the fit and the silhouette run at once, the tables are lazy."""
     scaled = km.standardize(modeling.select(cols.unit, *cols.indices), cols.indices)
     sweep = km.k_sweep(scaled, cols.indices, cols.unit, ks, sample, restarts, max_iter, seed, parallelism)

@@ -9,6 +9,7 @@ from regiometra.domain import LAGGING, UPGRADE_BANDS, Columns
 from regiometra.operators import aggregates as agg
 from regiometra.operators.features import is_member, near_upgrade_band
 from regiometra.operators.filters import sample_n, select_top, sort_by, top_n
+from regiometra.plans.tables import Tables
 
 BAND_COLUMN = "potensi_naik"
 
@@ -38,27 +39,28 @@ def scatter_points(modeling: DataFrame, n: int = 5000, cols: Columns = Columns()
     return sample_n(modeling.select(*needed, cols.unit), n, cols.unit, clamp=clamp).select(*needed)
 
 
-def explore(modeling: DataFrame, cols: Columns = Columns(), sample: int = 5000) -> dict[str, DataFrame]:
-    """Named lazy tables; only those that are read are computed."""
-    banded = with_band(modeling, cols)
+def explore(modeling: DataFrame, cols: Columns = Columns(), sample: int = 5000) -> Tables:
+    """Every table of the exploration by name; only those that are read are computed."""
     near_middle = UPGRADE_BANDS[2][3]
     closest = [cols.region, cols.district, cols.subdistrict, cols.unit_name, cols.score,
                cols.weakest, cols.child_count]
-    profile = region_profile(modeling, cols)
-    return {
-        "describe": agg.describe(modeling, cols.correlated),
-        "status_counts": agg.value_counts(modeling, cols.status),
-        "status_mode": agg.mode_of(modeling, cols.status, cols.status),
-        "lagging_top": top_n(lagging_rate(modeling, cols), "persentase_tertinggal", cols.region, 10),
-        "status_share": agg.value_share(modeling, cols.status),
-        "weakest_share": agg.value_share(modeling, cols.weakest, "DIMENSI"),
-        "weakest_share_lagging": agg.value_share_where(
+    return Tables({
+        "describe": lambda: agg.describe(modeling, cols.correlated),
+        "status_counts": lambda: agg.value_counts(modeling, cols.status),
+        "status_mode": lambda: agg.mode_of(modeling, cols.status, cols.status),
+        "lagging_top": lambda: top_n(lagging_rate(modeling, cols), "persentase_tertinggal",
+                                     cols.region, 10),
+        "status_share": lambda: agg.value_share(modeling, cols.status),
+        "weakest_share": lambda: agg.value_share(modeling, cols.weakest, "DIMENSI"),
+        "weakest_share_lagging": lambda: agg.value_share_where(
             modeling, is_member(cols.status, LAGGING), cols.weakest, value_name="DIMENSI"),
-        "band_counts": agg.value_counts(banded, BAND_COLUMN),
-        "closest_to_upgrade": select_top(banded, F.col(BAND_COLUMN) == near_middle, cols.score,
-                                         cols.unit, closest, 5),
-        "correlation": agg.correlation_matrix(modeling, cols.correlated),
-        "scatter": scatter_points(modeling, sample, cols),
-        "region_profile": profile,
-        "region_profile_by_score": sort_by(profile, "NILAI_IDM_median", cols.region),
-    }
+        "band_counts": lambda: agg.value_counts(with_band(modeling, cols), BAND_COLUMN),
+        "closest_to_upgrade": lambda: select_top(
+            with_band(modeling, cols), F.col(BAND_COLUMN) == near_middle, cols.score, cols.unit,
+            closest, 5),
+        "correlation": lambda: agg.correlation_matrix(modeling, cols.correlated),
+        "scatter": lambda: scatter_points(modeling, sample, cols),
+        "region_profile": lambda: region_profile(modeling, cols),
+        "region_profile_by_score": lambda: sort_by(region_profile(modeling, cols),
+                                                   "NILAI_IDM_median", cols.region),
+    })

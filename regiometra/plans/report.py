@@ -12,6 +12,7 @@ from regiometra.operators.features import is_member
 from regiometra.operators.filters import dashboard_top, distinct_options, filter_members, sort_by
 from regiometra.plans.cluster import cluster_points
 from regiometra.plans.explore import lagging_rate, region_profile, scatter_points
+from regiometra.plans.tables import Tables
 from regiometra.sources.tables import materialize_if_absent, write_csv
 
 
@@ -31,37 +32,39 @@ def filter_options(modeling: DataFrame, cols: Columns = Columns()) -> dict[str,
 
 def report(modeling: DataFrame, regions: Sequence[str] = (), statuses: Sequence[str] = (),
            clustered: DataFrame | None = None, region_stats: DataFrame | None = None,
-           top: int | None = None, sample: int = 5000, cols: Columns = Columns()) -> dict[str, DataFrame]:
+           top: int | None = None, sample: int = 5000, cols: Columns = Columns()) -> Tables:
     """Named lazy tables after filtering; an empty choice filters nothing.
 
     The region profile is not filtered, the clustered table is filtered on its own.
     """
     choices = {cols.region: list(regions), cols.status: list(statuses)}
     rows = filter_members(modeling, choices)
-    domain = status_table(modeling.sparkSession, STATUS_ORDER)
     tables = {
-        "kpis": agg.kpis(rows, cols.region, cols.status, cols.score, LAGGING, TOP_STATUS),
-        "status_summary": agg.status_summary(rows, cols.status, domain),
-        "lagging_rate": lagging_rate(rows, cols),
-        "lagging_top": dashboard_top(lagging_rate(rows, cols), "persentase_tertinggal",
-                                     cols.region, top),
-        "weakest_share": agg.value_share(rows, cols.weakest, "DIMENSI"),
-        "weakest_share_lagging": agg.value_share_where(
+        "kpis": lambda: agg.kpis(rows, cols.region, cols.status, cols.score, LAGGING, TOP_STATUS),
+        "status_summary": lambda: agg.status_summary(
+            rows, cols.status, status_table(modeling.sparkSession, STATUS_ORDER)),
+        "lagging_rate": lambda: lagging_rate(rows, cols),
+        "lagging_top": lambda: dashboard_top(lagging_rate(rows, cols), "persentase_tertinggal",
+                                             cols.region, top),
+        "weakest_share": lambda: agg.value_share(rows, cols.weakest, "DIMENSI"),
+        "weakest_share_lagging": lambda: agg.value_share_where(
             rows, is_member(cols.status, LAGGING), cols.weakest, value_name="DIMENSI"),
-        "correlation": agg.correlation_matrix(rows, cols.correlated),
-        "scatter": scatter_points(rows, sample, cols),
+        "correlation": lambda: agg.correlation_matrix(rows, cols.correlated),
+        "scatter": lambda: scatter_points(rows, sample, cols),
     }
     if region_stats is not None:
-        tables["region_stats"] = sort_by(region_stats, "NILAI_IDM_median", cols.region)
+        tables["region_stats"] = lambda: sort_by(region_stats, "NILAI_IDM_median", cols.region)
     if clustered is not None:
         view = filter_members(clustered, choices)
-        tables["cluster_kpis"] = agg.cluster_kpis(view, cols.cluster)
-        tables["cluster_summary"] = agg.cluster_summary(
-            view, cols.cluster_label, cols.cluster, [*cols.measures, cols.child_count], cols.status)
-        tables["cluster_points_2d"] = cluster_points(view, [cols.environment, cols.economic], cols)
-        tables["cluster_points_3d"] = cluster_points(
-            view, [cols.social, cols.environment, cols.economic], cols)
-    return tables
+        tables |= {
+            "cluster_kpis": lambda: agg.cluster_kpis(view, cols.cluster),
+            "cluster_summary": lambda: agg.cluster_summary(
+                view, cols.cluster_label, cols.cluster, [*cols.measures, cols.child_count], cols.status),
+            "cluster_points_2d": lambda: cluster_points(view, [cols.environment, cols.economic], cols),
+            "cluster_points_3d": lambda: cluster_points(
+                view, [cols.social, cols.environment, cols.economic], cols),
+        }
+    return Tables(tables)
 
 
 def filtered_extract(modeling: DataFrame, path: str, regions: Sequence[str] = (),

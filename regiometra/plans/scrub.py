@@ -29,13 +29,17 @@ class Scrubbed:
     rejects: DataFrame
 
 
-def clean_units(raw: DataFrame, cols: Columns, patches: Mapping[Any, Any] = NAME_PATCHES) -> DataFrame:
-    """Drop invalid units, patch names, normalise codes, coerce and impute."""
+def valid_units(raw: DataFrame, cols: Columns, patches: Mapping[Any, Any] = NAME_PATCHES) -> DataFrame:
+    """Drop invalid units and junk columns, patch names, normalise codes, coerce numbers."""
     valid = clean.drop_invalid(raw, cols.social)
     named = clean.patch_cells(valid, cols.unit, cols.unit_name, patches)
-    coded = clean.normalize_codes(named, cols.unit)
-    imputed = clean.impute_median(coded, cols.measures)
-    return clean.drop_if_present(clean.impute_mode(imputed, cols.status), JUNK_COLUMNS)
+    typed = clean.coerce_columns(clean.normalize_codes(named, cols.unit), cols.measures)
+    return clean.drop_if_present(typed, JUNK_COLUMNS)
+
+
+def impute_units(valid: DataFrame, cols: Columns) -> DataFrame:
+    """Missing measures get the median, a missing status the mode, of the valid units."""
+    return clean.impute_mode(clean.impute_median(valid, cols.measures), cols.status)
 
 
 def collapse_recommendations(rows: DataFrame, cols: Columns) -> DataFrame:
@@ -69,14 +73,17 @@ def derive_features(joined: DataFrame, cols: Columns) -> DataFrame:
 
 def scrub(spark: SparkSession, units_csv: str, sheets: str, cols: Columns = Columns(),
           header_row: int = 3, patches: Mapping[Any, Any] = NAME_PATCHES) -> Scrubbed:
-    """The whole flow. Two tables are staged because several aggregates read them:
-    the filled sheet rows, and the joined units.
+    """The whole flow.
+
+    Three tables are staged because several aggregates read them, and text would be parsed
+    again each time: the valid units, the filled sheet rows, and the joined units.
     """
     raw = read_raw_csv(spark, units_csv)
     folder = SheetFolder(spark, sheets, header_row)
     rows = stage(fill_identity(folder.rows(), IDENTITY_COLUMNS), "sheet-rows")
     collapsed = collapse_recommendations(rows, cols)
-    joined = stage(attach_recommendations(clean_units(raw, cols, patches), collapsed, cols), "joined")
+    units = impute_units(stage(valid_units(raw, cols, patches), "valid-units"), cols)
+    joined = stage(attach_recommendations(units, collapsed, cols), "joined")
     return Scrubbed(
         modeling=derive_features(joined, cols),
         invalid=clean.invalid_rows(raw, cols.social, [cols.unit_name, cols.unit]),

@@ -19,6 +19,7 @@ from regiometra.session import stage
 from regiometra.sources.tables import BOM
 
 _FILES_TO_BROADCAST = 20_000
+_SPLITS_TO_BROADCAST = 200_000
 
 
 def read_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> DataFrame:
@@ -39,8 +40,12 @@ def read_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> D
                                                        F.count("*").alias("_lines"))
     earlier = (Window.partitionBy("file_path").orderBy("_split")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = splits.select("file_path", "_split", "_first",
-                            F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    offsets = stage(splits.select(
+        "file_path", "_split", "_first",
+        F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")), "sheet-splits")
+    # One row per split. Beyond the bound the join shuffles, evenly, as splits are of one size.
+    if offsets.count() <= _SPLITS_TO_BROADCAST:
+        offsets = F.broadcast(offsets)
     return (lines.join(offsets, ["file_path", "_split"])
             .select("file_path", (F.col("_before") + F.col("_at") - F.col("_first")).alias("row_no"),
                     "line"))
