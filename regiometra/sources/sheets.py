@@ -79,9 +79,9 @@ def normalize_header(df: DataFrame) -> DataFrame:
 class SheetFolder:
     """The sheets below ``path``; ``rows`` are the accepted ones, ``rejects`` the others.
 
-    A sheet is rejected as a whole if it has no header row, if its header lacks a ``required``
-    column, or if a line is not valid UTF-8 text; the rest goes on. Quoted cells may hold the
-    separator but no line break.
+    A sheet is rejected as a whole if nothing can be read from it, if it has no header row, if
+    its header lacks a ``required`` column, or if a line is not valid UTF-8 text; the rest goes
+    on. Quoted cells may hold the separator but no line break.
     """
 
     def __init__(self, spark: SparkSession, path: str, header_row: int = 3,
@@ -93,13 +93,21 @@ class SheetFolder:
         broken = F.col("line").contains("\ufffd") | F.col("line").contains("\x00")
         header_line = F.max(F.when(F.col("row_no") == header_row, F.col("line")))
         # One header line and one flag per file, combined before the shuffle.
-        files = (self._lines.groupBy("file_path")
-                 .agg(header_line.alias("_line"), F.bool_or(broken).alias("_broken"))
+        found = (self._lines.groupBy("file_path")
+                 .agg(header_line.alias("_line"), F.bool_or(broken).alias("_broken")))
+        # The reader's listing brings in files that gave no line at all.
+        reader = spark.read.option("recursiveFileLookup", True).text(path)
+        names = [(re.sub("^file:/+", "file:/", name),) for name in reader.inputFiles()]
+        listed = spark.createDataFrame(names, "_listed string")
+        local = F.regexp_replace("file_path", "^file:/+", "file:/")
+        files = (listed.join(found, F.col("_listed") == local, "left")
+                 .withColumn("file_path", F.coalesce("file_path", "_listed"))
                  .withColumn("header", _normal_names(_cells(F.col("_line"), separator))))
         named = F.array_compact("header")
         wanted = F.array(*[F.lit(c) for c in required]).cast("array<string>")
         lacking = F.array_except(wanted, named)
-        error = (F.when(F.col("_broken"), F.lit("not valid text"))
+        error = (F.when(F.col("_broken").isNull(), F.lit("empty or unreadable"))
+                 .when(F.col("_broken"), F.lit("not valid text"))
                  .when(F.coalesce(F.size(named), F.lit(0)) <= 0, F.lit("no header row"))
                  .when(F.size(lacking) > 0, F.concat(F.lit("missing columns: "),
                                                      F.array_join(lacking, ", "))))

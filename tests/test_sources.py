@@ -51,10 +51,13 @@ def test_sheets_are_united_filled_and_rejected(spark, tmp_path):
     sheet(folder, "short.csv", [], titles=("only",), header="two")
     sheet(folder, "other.csv", ["1,2"], header="a,b")
     (folder / "binary.csv").write_bytes(b"a\nb\nc\nKode Desa\n\xff\xfe\x00\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "fake.csv.gz").write_bytes(b"this is no gzip stream")
     sheets = sh.SheetFolder(spark, str(folder), 3, required=["KODE DESA"])
     errors = {r["file_path"].rsplit("/", 1)[1]: r["error"] for r in sheets.rejects.collect()}
     assert errors == {"short.csv": "no header row", "other.csv": "missing columns: KODE DESA",
-                      "binary.csv": "not valid text"}
+                      "binary.csv": "not valid text", "empty.csv": "empty or unreadable",
+                      "fake.csv.gz": "empty or unreadable"}
     rows = sh.fill_identity(sheets.rows(), IDENTITY_COLUMNS)
     got = [(r["KODE DESA"], r["NAMA DESA"], r["KETERANGAN"], r["NILAI"], r["LAIN"], r["row_no"])
            for r in rows.orderBy("file_path", "row_no").collect()]
