@@ -67,11 +67,12 @@ def join_distinct_text(df: DataFrame, key: str, text: str, order: Sequence[str],
 
     Distinct comes before trimming, blanks and the placeholder are left out, and a key
     without any text left gets ``default``. Repeats are removed before texts meet, so a
-    cell only ever collects what it will hold.
+    cell only ever collects what it will hold. A single numeric ``order`` is cheapest: its
+    minimum needs no sort, that of several columns does.
     """
     keyed = df.filter(_c(key).isNotNull())
-    first = (keyed.groupBy(_c(key), _c(text).alias("_text"))
-             .agg(F.min(F.struct(*[_c(o) for o in order])).alias("_first")))
+    place = _c(order[0]) if len(order) == 1 else F.struct(*[_c(o) for o in order])
+    first = keyed.groupBy(_c(key), _c(text).alias("_text")).agg(F.min(place).alias("_first"))
     trimmed = trim_all(F.col("_text"))
     kept = F.when(~trimmed.isin(PLACEHOLDER_TEXTS),
                   F.struct("_first", "_text", trimmed.alias("_shown")))

@@ -48,7 +48,7 @@ def collapse_recommendations(rows: DataFrame, cols: Columns) -> DataFrame:
     valued = coded.withColumn(cols.child_value, coerce_numeric(F.col(f"`{cols.child_value}`")))
     return collapse_children(
         valued, cols.child_unit, cols.child_text, cols.child_value, cols.child_target,
-        ["file_path", "row_no"],
+        ["position"],
         {"count": cols.child_count, "total": cols.child_total, "joined": cols.child_joined,
          "target": cols.target})
 

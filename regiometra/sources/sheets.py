@@ -20,6 +20,7 @@ from regiometra.sources.tables import BOM
 
 _FILES_TO_BROADCAST = 20_000
 _SPLITS_TO_BROADCAST = 200_000
+_ROWS_PER_FILE = 2 ** 40  # leaves room for eight million files in a bigint
 
 
 def read_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> DataFrame:
@@ -111,7 +112,10 @@ class SheetFolder:
                  .when(F.coalesce(F.size(named), F.lit(0)) <= 0, F.lit("no header row"))
                  .when(F.size(lacking) > 0, F.concat(F.lit("missing columns: "),
                                                      F.array_join(lacking, ", "))))
-        self._files = stage(files.select("file_path", "header", error.alias("error")), "sheet-headers")
+        # One row per file, so numbering them in one window is cheap.
+        number = F.row_number().over(Window.orderBy("file_path")).cast("bigint")
+        self._files = stage(files.select("file_path", number.alias("file_no"), "header",
+                                         error.alias("error")), "sheet-headers")
 
     @property
     def rejects(self) -> DataFrame:
@@ -131,19 +135,21 @@ class SheetFolder:
     def rows(self) -> DataFrame:
         """Union of the accepted sheets by column name; absent columns are null, all are text.
 
-        (file_path, row_no) say where a row came from and give the order.
+        (file_path, row_no) say where a row came from; ``position`` is the same order as one
+        number over all sheets.
         """
         layouts = self.layouts()
         names = sorted({n for header, _ in layouts for n in header if n})
-        headers = (self._files.filter(F.col("error").isNull()).select("file_path", "header"))
+        headers = (self._files.filter(F.col("error").isNull()).select("file_path", "file_no", "header"))
         if sum(files for _, files in layouts) <= _FILES_TO_BROADCAST:
             headers = F.broadcast(headers)
         body = (self._lines.filter((F.col("row_no") > self.header_row)
                                    & (F.trim(F.col("line")) != ""))
                 .join(headers, "file_path")
-                .select("file_path", "row_no", "header",
+                .select("file_path", "row_no", "file_no", "header",
                         _cells(F.col("line"), self.separator).alias("_cells")))
-        return body.select("file_path", "row_no", *[
+        position = F.col("file_no") * F.lit(_ROWS_PER_FILE) + F.col("row_no")
+        return body.select("file_path", "row_no", position.alias("position"), *[
             _unquoted(F.get("_cells", F.array_position("header", F.lit(n)).cast("int") - 1)).alias(n)
             for n in names])
 

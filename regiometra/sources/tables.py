@@ -93,8 +93,9 @@ def materialize_if_absent(spark: SparkSession, path: str, required: str,
         found = stored()
         if required in found.columns:
             return found
-    fresh = compute()
+    fresh = compute().persist()  # a summary: small, and needed for the test and the write
     if fresh.isEmpty():
         return fresh
     write_csv(fresh, path, files=1)
+    fresh.unpersist()
     return stored()
