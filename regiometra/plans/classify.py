@@ -56,8 +56,12 @@ def classify(modeling: DataFrame, cols: Columns = Columns(), trees: int = 100, t
     """
     table = stage(training_table(modeling, cols, test, seed), "training")
     inputs = model_inputs(cols)
-    train = (table.filter(~F.col("is_test")).select(*inputs, "label")
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    train = table.filter(~F.col("is_test")).select(*inputs, "label")
+    # A small staged table is one file; the fits should still use every core.
+    cores = modeling.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < cores:
+        train = train.repartition(cores)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tree = clf.decision_tree(train, inputs, STATUS_ORDER, tree_depth, max_bins, seed)
         forest = clf.random_forest(train, inputs, STATUS_ORDER, trees, forest_depth, max_bins, seed)
