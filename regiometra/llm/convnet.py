@@ -70,27 +70,34 @@ def _inputs(net: Network, codes: np.ndarray) -> np.ndarray:
     return net.embedding[whole].reshape(len(whole) // STEP, -1)
 
 
-def _responses(net: Network, x: np.ndarray) -> np.ndarray:
+def _last_blocks(blocks: np.ndarray) -> np.ndarray:
+    last = np.zeros(blocks.sum(), bool)
+    last[np.cumsum(blocks) - 1] = True
+    return last
+
+
+def _responses(net: Network, x: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Responses by block and step. Windows that reach past a document's padding are off; others see only padding there."""
     n = len(x) - TAPS + 1
     out = sum(x[t:t + n] @ net.filters[t] for t in range(TAPS)) + net.offset
-    return np.maximum(out, 0, out=out).reshape(-1, BLOCK // STEP, out.shape[1])
+    out = np.maximum(out, 0, out=out).reshape(-1, BLOCK // STEP, out.shape[1])
+    out[last, 1 - TAPS:] = 0
+    return out
 
 
-def block_peaks(net: Network, codes: np.ndarray) -> np.ndarray:
+def block_peaks(net: Network, codes: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Largest response of every filter in every block, slab by slab."""
-    found, halo = [], (TAPS - 1) * STEP
+    found, halo, last = [], (TAPS - 1) * STEP, _last_blocks(blocks)
     for at in range(0, len(codes), SLAB):
-        x = _inputs(net, codes[at:at + SLAB + halo])
-        found.append(_responses(net, x[:(min(SLAB, len(codes) - at) // STEP) + TAPS - 1]).max(axis=1))
+        x = _inputs(net, codes[at:at + SLAB + halo])[:min(SLAB, len(codes) - at) // STEP + TAPS - 1]
+        found.append(_responses(net, x, last[at // BLOCK:(at + SLAB) // BLOCK]).max(axis=1))
     return np.concatenate(found)
 
 
 def pooled(peaks: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximum and mean over chunks per document, and which of its two blocks each chunk's peak is in."""
     starts = np.cumsum(blocks) - blocks
-    last = np.zeros(len(peaks), bool)
-    last[starts + blocks - 1] = True
-    following = np.where(last[:, None], -1, np.concatenate([peaks[1:], peaks[:1]]))
+    following = np.where(_last_blocks(blocks)[:, None], -1, np.concatenate([peaks[1:], peaks[:1]]))
     second = following > peaks
     chunks = np.where(second, following, peaks)
     mean = np.add.reduceat(chunks, starts) / blocks[:, None]
@@ -99,14 +106,14 @@ def pooled(peaks: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def probability(net: Network, texts: list[bytes]) -> np.ndarray:
     codes, blocks = symbols(texts)
-    features, _, _ = pooled(block_peaks(net, codes), blocks)
+    features, _, _ = pooled(block_peaks(net, codes, blocks), blocks)
     return 1 / (1 + np.exp(-(features.astype(np.float64) @ net.combine + net.bias[0])))
 
 
 def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
     codes, blocks = symbols(texts)
     x = _inputs(net, codes)
-    responses = _responses(net, x)
+    responses = _responses(net, x, _last_blocks(blocks))
     where, peaks = responses.argmax(axis=1), responses.max(axis=1)
     features, starts, second = pooled(peaks, blocks)
     n_filters, owner = peaks.shape[1], np.repeat(np.arange(len(blocks)), blocks)
