@@ -1,6 +1,6 @@
 """Every query of the subpackage, one per dealt operator."""
 
-from regiometra.llm import q_ann, q_convnet, q_mixing, q_packing, q_repeats, q_rules, q_sharding  # noqa: F401
+from regiometra.llm import q_ann, q_convnet, q_jaccard, q_mixing, q_packing, q_repeats, q_rules, q_sharding  # noqa: F401
 from regiometra.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
