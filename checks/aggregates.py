@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.bindings import COLS, LAGGING_SQL, U, V, check, lines_view, mode_sql, modeling_view, r, rs, table
+from checks.bindings import CASE_STATUS, COLS, LAGGING_SQL, U, V, check, lines_view, mode_sql, modeling_view, r, rs, table
 from regiometra.domain import LAGGING, STATUS_ORDER, TOP_STATUS, status_table
 from regiometra.operators import aggregates as ag
 from regiometra.operators import joins as jn
@@ -170,11 +170,15 @@ def _(spark, folder):
     return r(summary, *COLS.measures)
 
 
-@check("ag16_crosstab_row_percent", f"WITH {V} SELECT flag, " + ", ".join(
+_ODD_STATUS = f"CASE WHEN n_rec = 3 THEN 'OUTSIDE' ELSE {CASE_STATUS} END"
+
+
+@check("ag16_crosstab_row_percent", f"WITH {V.replace(CASE_STATUS, _ODD_STATUS)} SELECT flag, " + ", ".join(
     rs(f"count(*) FILTER (status = '{s}')::DOUBLE / count(*) * 100") + f' AS "{s}"' for s in STATUS_ORDER)
     + " FROM v GROUP BY flag")
 def _(spark, folder):
-    return r(ag.crosstab_row_percent(lines_view(spark, folder), "flag", "status", STATUS_ORDER), *STATUS_ORDER)
+    odd = lines_view(spark, folder).withColumn("status", F.when(F.col("n_rec") == 3, "OUTSIDE").otherwise(F.col("status")))
+    return r(ag.crosstab_row_percent(odd, "flag", "status", STATUS_ORDER), *STATUS_ORDER)
 
 
 _CORR = ["iks", "ike", "ikl", "idm", "n_rec", "gap_e", "gap_l", "const"]

@@ -59,6 +59,15 @@ def _(spark, folder):
     return st.read_raw_csv(spark, _written(spark, folder, bom=True))
 
 
+@check("snk1_snk2_text_round_trip", """SELECT doc_id::VARCHAR AS doc_id, '  ' || text || chr(10) || '"end" ' AS text,
+  lang FROM documents""")
+def _(spark, folder):
+    path = new_folder(spark, "texts")
+    texts = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("  "), "text", F.lit('\n"end" ')).alias("text"), "lang")
+    st.write_csv(texts, path)
+    return st.read_raw_csv(spark, path)
+
+
 @check("snk2_snk3_overwrite_extract", f"WITH {U} SELECT unit::VARCHAR AS unit, prov, status FROM u "
        "WHERE prov IN ('NATION_1', 'NATION_3') AND status IN ('MAJU', 'MANDIRI')")
 def _(spark, folder):

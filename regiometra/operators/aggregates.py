@@ -140,8 +140,14 @@ def value_counts(df: DataFrame, column: str, output: str = "JUMLAH") -> DataFram
 
 def value_share(df: DataFrame, column: str, value_name: str | None = None,
                 count_name: str = "JUMLAH", share_name: str = "PERSENTASE") -> DataFrame:
-    """``value_counts`` with the percentage of all rows, missing ones included, to 2 decimals."""
+    """``value_counts`` with the percentage of all rows, missing ones included, to 2 decimals.
+
+    Without the column the table is empty.
+    """
     name = value_name or column
+    if column not in df.columns:
+        return df.sparkSession.createDataFrame(
+            [], f"`{name}` string, `{count_name}` bigint, `{share_name}` double")
     counts = df.groupBy(_c(column).alias(name)).agg(F.count("*").alias(count_name))
     shares = with_scalars(counts, counts.agg(F.sum(_c(count_name)).alias("_all")))
     share = round_half_even(_c(count_name) / F.col("_all") * 100, 2)
@@ -171,10 +177,13 @@ def status_summary(df: DataFrame, column: str, domain: DataFrame,
             .select(_c(column), _c(count_name), _c(share_name)))
 
 
-def group_rate(df: DataFrame, group: str, key: str, flag: Column, total_name: str = "total_desa",
+def group_rate(df: DataFrame, group: str, key: str, flag: Column | None, total_name: str = "total_desa",
                flagged_name: str = "desa_tertinggal",
                rate_name: str = "persentase_tertinggal") -> DataFrame:
-    """Units, flagged units and their percentage per group, highest first."""
+    """Units, flagged units and their percentage per group, highest first; empty without the columns."""
+    if group not in df.columns or key not in df.columns or flag is None:
+        return df.sparkSession.createDataFrame(
+            [], f"`{group}` string, `{total_name}` bigint, `{flagged_name}` bigint, `{rate_name}` double")
     rates = (df.filter(_c(group).isNotNull()).groupBy(_c(group))
              .agg(F.count(_c(key)).alias(total_name), F.count_if(flag).alias(flagged_name)))
     rate = round_half_even(F.try_divide(_c(flagged_name).cast("double"), _c(total_name)) * 100, 2)
@@ -221,13 +230,14 @@ def cluster_summary(df: DataFrame, label: str, cluster: str, columns: Sequence[s
 
 def crosstab_row_percent(df: DataFrame, rows: str, columns: str,
                          values: Sequence[str]) -> DataFrame:
-    """Counts normalised per row times 100; one column per value of the domain, sorted."""
+    """Counts as percentages of all rows with a present value; one column per value of the domain, sorted.
+
+    Values outside the domain have no column but count in the whole.
+    """
     names = sorted(values)
-    counts = (df.filter(_c(rows).isNotNull() & _c(columns).isin(names)).groupBy(_c(rows))
-              .pivot(columns, names).agg(F.count(F.lit(1))))
-    filled = {n: F.coalesce(_c(n), F.lit(0)) for n in names}
-    total = sum(filled.values(), F.lit(0))
-    return counts.select(_c(rows), *[(v / total * 100).alias(n) for n, v in filled.items()])
+    counts = (df.filter(_c(rows).isNotNull() & _c(columns).isNotNull()).groupBy(_c(rows))
+              .agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(_c(columns) == n).alias(f"_{i}") for i, n in enumerate(names)]))
+    return counts.select(_c(rows), *[(F.col(f"_{i}") / F.col("_all") * 100).alias(n) for i, n in enumerate(names)])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -299,7 +309,9 @@ def kpis(df: DataFrame, region: str, status: str, score: str, lagging: Sequence[
 
 
 def cluster_kpis(df: DataFrame, cluster: str) -> DataFrame:
-    """One row: clustered rows and distinct clusters."""
+    """One row: clustered rows and distinct clusters; zeros without the cluster column."""
+    if cluster not in df.columns:
+        return df.sparkSession.createDataFrame([(0, 0)], "clustered_rows bigint, n_clusters bigint")
     return (df.groupBy(_c(cluster)).agg(F.count("*").alias("_n"))
             .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("clustered_rows"),
                  F.count(_c(cluster)).alias("n_clusters")))

@@ -13,6 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,9 @@ from regiometra.operators.filters import sample_n
 from regiometra.operators.scalars import with_scalars
 from regiometra.session import stage
 
-# Bound of the samples the exact silhouette may see; the plans take 10000 and 15000.
-MAX_SILHOUETTE_POINTS = 20_000
+_PARTITIONS = 8
 _POINTS_PER_PARTITION = 20_000
+_POINTS_PER_BLOCK = 2_048
 _TOLERANCE = 1e-4
 
 
@@ -42,7 +43,7 @@ def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "") -> Data
 
 @dataclass(frozen=True)
 class Scaler:
-    """Fitted means and population deviations, two numbers per column."""
+    """Fitted means and population deviations, two numbers per column; of no rows, zeros and ones."""
 
     columns: tuple[str, ...]
     means: tuple[float, ...]
@@ -53,7 +54,8 @@ class Scaler:
         row = df.agg(*[F.avg(F.col(f"`{c}`")) for c in columns],
                      *[F.stddev_pop(F.col(f"`{c}`")) for c in columns]).first()
         d = len(columns)
-        return cls(tuple(columns), tuple(row[:d]), tuple(s if s > 0 else 1.0 for s in row[d:]))
+        return cls(tuple(columns), tuple(0.0 if m is None else m for m in row[:d]),
+                   tuple(s if s is not None and s > 0 else 1.0 for s in row[d:]))
 
     def stage(self, prefix: str = "_z") -> SQLTransformer:
         """The scaling as a pipeline stage that can be stored; adds ``_z0``, ``_z1``, ..."""
@@ -85,12 +87,14 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
 def cached_points(points: DataFrame) -> Iterator[DataFrame]:
     """``points`` staged and cached for the fits, in as many partitions as they are worth.
 
-    Every iteration is a job that ships the lineage of its input, so the lineage is cut first;
-    and few points in many partitions would cost scheduling only.
+    Every iteration is a job that ships the lineage of its input, so the lineage is cut first. The layout is a
+    hash of the points and sorted, so starts drawn per partition are the same on every machine.
     """
     staged = stage(points.select("features", "weight"), "points")
-    parts = max(1, -(-staged.count() // _POINTS_PER_PARTITION))
-    cached = staged.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(_PARTITIONS, -(-staged.count() // _POINTS_PER_PARTITION))
+    values = vector_to_array("features")
+    cached = (staged.repartition(parts, F.xxhash64(values)).sortWithinPartitions(values, "weight")
+              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         yield cached
     finally:
@@ -167,51 +171,71 @@ def silhouette_exact(sample: DataFrame, columns: Sequence[str], labels: Sequence
                      weight: str | None = None) -> DataFrame:
     """(labelling, silhouette): mean of (b - a) / max(a, b), Euclidean, for each label column.
 
-    Meant for samples: Euclidean sums need the distance of every two points. Equal points with
-    equal labels are merged and weighted, the points (at most MAX_SILHOUETTE_POINTS, checked) go
-    to every task, and tasks take slices of them, so that no pair ever becomes a row.
+    Euclidean sums need the distance of every two points, so samples are what it is meant for; any number is
+    taken. Equal points with equal labels are merged and weighted and dealt to blocks by hash. A task adds up the
+    distances of one block's points to another block, per cluster; no pair ever becomes a row.
     ``weight`` names a column of row counts if the sample is merged already.
     """
-    spark = sample.sparkSession
     rows = F.sum(F.col(f"`{weight}`")) if weight else F.count("*").cast("double")
-    merged = (sample.groupBy(*[F.col(f"`{c}`") for c in [*columns, *labels]])
-              .agg(rows.alias("_weight")).limit(MAX_SILHOUETTE_POINTS + 1))
-    points = merged.toPandas()
-    if len(points) > MAX_SILHOUETTE_POINTS:
-        raise ValueError(f"more than {MAX_SILHOUETTE_POINTS} points: take a sample first")
-    shared = spark.sparkContext.broadcast((
-        points[list(columns)].to_numpy(float), points["_weight"].to_numpy(float),
-        [points[c].factorize()[0] for c in labels]))
-
-    def slices(batches):
+    merged = stage(sample.groupBy(*[F.col(f"`{c}`") for c in [*columns, *labels]]).agg(rows.alias("_weight")), "points")
+    blocks = max(1, -(-merged.count() // _POINTS_PER_BLOCK))
+    names = [[r[0] for r in merged.select(F.col(f"`{c}`")).distinct().sort(F.col(f"`{c}`")).collect()] for c in labels]
+    d, n = len(columns), len(labels)
+    codes = [F.array_position(F.lit(v), F.col(f"`{c}`")) if v else F.lit(1) for c, v in zip(labels, names)]
+    dealt = merged.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+                          *[(code - 1).cast("int").alias(f"c{i}") for i, code in enumerate(codes)], "_weight")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*[f"x{i}" for i in range(d)]), F.lit(blocks)).cast("int"))
+
+    def gather(group):
+        import pandas as pd
+
+        data = group[[*(f"x{i}" for i in range(d)), *(f"c{i}" for i in range(n)), "_weight"]].to_numpy(float)
+        return pd.DataFrame({"block": group["block"].iloc[:1], "points": [data.tobytes()]})
+
+    def opened(data):
+        import numpy as np
+
+        table = np.frombuffer(data).reshape(-1, d + n + 1)
+        return table[:, :d], table[:, d:d + n].astype(int), table[:, -1]
+
+    def distances(batches):
         import numpy as np
         import pandas as pd
 
-        xyz, weight, codes = shared.value
-        groups = [np.eye(c.max() + 1)[c] * weight[:, None] for c in codes]
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            for part in np.array_split(ids, max(1, -(-len(ids) // 256))):
-                dist = np.sqrt(sum((xyz[part, j, None] - xyz[None, :, j]) ** 2
-                                   for j in range(xyz.shape[1])))
-                for n, (code, group) in enumerate(zip(codes, groups)):
-                    size, rows = group.sum(axis=0), np.arange(len(part))
-                    sums, own = dist @ group, code[part]
-                    a = sums[rows, own] / np.maximum(size[own] - 1, 1)
-                    means = sums / size
-                    means[rows, own] = np.inf
-                    b = means.min(axis=1)
-                    top = np.maximum(a, b)
-                    s = np.where((size[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0)
-                    yield pd.DataFrame({"n": [n], "clusters": [len(size)],
-                                        "total": [float((s * weight[part]).sum())],
-                                        "rows": [float(weight[part].sum())]})
-
-    parts = min(max(len(points) // 256, 1), spark.sparkContext.defaultParallelism)
+            for block, own, other in zip(batch["block"], batch["own"], batch["other"]):
+                a, (b, code, weights) = opened(own)[0], opened(other)
+                groups = np.concatenate([np.eye(len(v))[code[:, i]] * weights[:, None] for i, v in enumerate(names)], axis=1)
+                sums = np.concatenate([np.sqrt(sum((part[:, j, None] - b[None, :, j]) ** 2 for j in range(d))) @ groups
+                                       for part in np.array_split(a, max(1, len(a) // 256))])
+                yield pd.DataFrame({"block": [block], "own": [own], "sums": [sums.tobytes()], "sizes": [groups.sum(axis=0).tobytes()]})
+
+    def finish(group):
+        import numpy as np
+        import pandas as pd
+
+        _, code, weights = opened(group["own"].iloc[0])
+        sums = sum(np.frombuffer(x) for x in group["sums"]).reshape(len(code), -1)
+        sizes, at, out = sum(np.frombuffer(x) for x in group["sizes"]), 0, []
+        for i, v in enumerate(names):
+            size, total, own, rows = sizes[at:at + len(v)], sums[:, at:at + len(v)], code[:, i], np.arange(len(code))
+            at += len(v)
+            a = total[rows, own] / np.maximum(size[own] - 1, 1)
+            means = total / size
+            means[rows, own] = np.inf
+            b = means.min(axis=1)
+            top = np.maximum(a, b)
+            s = np.where((size[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0)
+            out.append((i, len(v), float((s * weights).sum()), float(weights.sum())))
+        return pd.DataFrame(out, columns=["n", "clusters", "total", "rows"])
+
+    held = stage(dealt.groupBy("block").applyInPandas(gather, "block int, points binary"), "point-blocks")
+    left = held.select("block", F.col("points").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("right"))
+    pairs = left.join(held.select(F.col("block").alias("right"), F.col("points").alias("other")), "right")
     score = F.when(F.max("clusters") > 1, F.sum("total") / F.sum("rows"))
     name = F.get(F.array(*[F.lit(c) for c in labels]), F.col("n"))
-    return (spark.range(0, len(points), 1, parts)
-            .mapInPandas(slices, "n int, clusters int, total double, rows double")
+    return (pairs.select("block", "own", "other").mapInPandas(distances, "block int, own binary, sums binary, sizes binary")
+            .groupBy("block").applyInPandas(finish, "n int, clusters int, total double, rows double")
             .groupBy("n").agg(score.alias("silhouette"))
             .select(name.alias("labelling"), "silhouette"))
 

@@ -47,10 +47,10 @@ def lookup_explode(df: DataFrame, column: str, lookup: DataFrame, lookup_key: st
                    values: Sequence[str]) -> DataFrame:
     """One row per lookup entry of the key; a key without entry gives no row.
 
-    ``lookup`` is a fixed domain table (a handful of rows), hence the broadcast.
+    Whether ``lookup`` is broadcast is left to its size.
     """
     entries = lookup.select(F.col(f"`{lookup_key}`").alias("_lookup"), *values)
-    return (df.join(F.broadcast(entries), F.col(f"`{column}`") == F.col("_lookup"))
+    return (df.join(entries, F.col(f"`{column}`") == F.col("_lookup"))
             .drop("_lookup"))
 
 

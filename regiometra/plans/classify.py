@@ -16,6 +16,10 @@ from regiometra.operators.splitting import stratified_split
 from regiometra.session import stage
 
 
+_PARTITIONS = 8
+_ROWS_PER_PARTITION = 100_000
+
+
 @dataclass(frozen=True)
 class Classification:
     tree: PipelineModel
@@ -56,12 +60,12 @@ def classify(modeling: DataFrame, cols: Columns = Columns(), trees: int = 100, t
     """
     table = stage(training_table(modeling, cols, test, seed), "training")
     inputs = model_inputs(cols)
-    train = table.filter(~F.col("is_test")).select(*inputs, "label")
-    # A small staged table is one file; the fits should still use every core.
-    cores = modeling.sparkSession.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() < cores:
-        train = train.repartition(cores)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = table.filter(~F.col("is_test")).select(cols.unit, *inputs, "label")
+    # The forest draws rows per partition, so the layout is a hash of the key and sorted, and its number of
+    # partitions follows the rows: the same forest on every machine.
+    parts = max(_PARTITIONS, -(-train.count() // _ROWS_PER_PARTITION))
+    train = (train.repartition(parts, F.xxhash64(cols.unit)).sortWithinPartitions(cols.unit, *inputs, "label")
+             .select(*inputs, "label").persist(StorageLevel.MEMORY_AND_DISK))
     try:
         tree = clf.decision_tree(train, inputs, STATUS_ORDER, tree_depth, max_bins, seed)
         forest = clf.random_forest(train, inputs, STATUS_ORDER, trees, forest_depth, max_bins, seed)

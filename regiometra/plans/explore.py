@@ -23,7 +23,8 @@ def region_profile(modeling: DataFrame, cols: Columns = Columns()) -> DataFrame:
 
 
 def lagging_rate(modeling: DataFrame, cols: Columns = Columns()) -> DataFrame:
-    return agg.group_rate(modeling, cols.region, cols.unit, is_member(cols.status, LAGGING))
+    flag = is_member(cols.status, LAGGING) if cols.status in modeling.columns else None
+    return agg.group_rate(modeling, cols.region, cols.unit, flag)
 
 
 def with_band(modeling: DataFrame, cols: Columns = Columns()) -> DataFrame:

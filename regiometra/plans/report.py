@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regiometra.domain import LAGGING, STATUS_ORDER, TOP_STATUS, Columns, status_table
 from regiometra.operators import aggregates as agg
@@ -48,7 +49,8 @@ def report(modeling: DataFrame, regions: Sequence[str] = (), statuses: Sequence[
                                              cols.region, top),
         "weakest_share": lambda: agg.value_share(rows, cols.weakest, "DIMENSI"),
         "weakest_share_lagging": lambda: agg.value_share_where(
-            rows, is_member(cols.status, LAGGING), cols.weakest, value_name="DIMENSI"),
+            rows, is_member(cols.status, LAGGING) if cols.status in rows.columns else F.lit(False),
+            cols.weakest, value_name="DIMENSI"),
         "correlation": lambda: agg.correlation_matrix(rows, cols.correlated),
         "scatter": lambda: scatter_points(rows, sample, cols),
     }

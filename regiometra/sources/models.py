@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,8 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel | None:
     """The stored pipeline, or None if it is absent or a stage of it is."""
     if not path_exists(spark, f"{path}/metadata"):
         return None
-    if not path_exists(spark, f"{path}/stages/*"):
+    stages = json.loads(spark.read.text(f"{path}/metadata").first()[0])["paramMap"]["stageUids"]
+    width = len(str(len(stages) - 1))
+    if not all(path_exists(spark, f"{path}/stages/{i:0{width}d}_{uid}/metadata") for i, uid in enumerate(stages)):
         return None
     return PipelineModel.load(path)

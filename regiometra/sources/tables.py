@@ -24,9 +24,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with every column as text; types are the business of the cleaning step.
 
-    Nothing is inferred, so the data are not read to plan the query and leading zeros survive.
+    Nothing is inferred, so the data are not read to plan the query and leading zeros survive. Quoted cells may
+    hold line breaks; for that a file is read by one task, so large tables should be many files.
     """
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", True).option("lineSep", "\n").csv(path))
 
 
 def read_typed_csv(spark: SparkSession, path: str, numeric: Sequence[str],
@@ -62,6 +64,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType | str,
 def write_csv(df: DataFrame, path: str, bom: bool = False, files: int | None = None) -> None:
     """Header CSV without row index, overwriting; the folder is made if absent.
 
+    Text is written as it is, blanks at its ends and line breaks included.
+
     ``bom`` starts every file with the UTF-8 byte order mark some spreadsheets need. ``files``
     bounds the number of files and is meant for small summaries.
     """
@@ -69,7 +73,8 @@ def write_csv(df: DataFrame, path: str, bom: bool = False, files: int | None = N
         df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     if files is not None:
         df = df.coalesce(files)
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -82,20 +87,23 @@ def materialize_if_absent(spark: SparkSession, path: str, required: str,
                           types: Mapping[str, str] | None = None) -> DataFrame:
     """Reuse the summary CSV at ``path`` if it has the ``required`` column, else compute and store it.
 
-    An empty result is returned and not stored. ``types`` casts the columns of the stored text.
+    An empty result is returned and not stored. ``types`` casts the columns of the stored text. A folder that a
+    broken write has left without its success mark counts as absent.
     """
     def stored() -> DataFrame:
         raw = read_raw_csv(spark, path)
         return raw.select(*[F.col(f"`{c}`").try_cast((types or {}).get(c, "string")).alias(c)
                             for c in raw.columns])
 
-    if path_exists(spark, path):
+    if path_exists(spark, f"{path}/_SUCCESS"):
         found = stored()
         if required in found.columns:
             return found
     fresh = compute().persist()  # a summary: small, and needed for the test and the write
-    if fresh.isEmpty():
-        return fresh
-    write_csv(fresh, path, files=1)
-    fresh.unpersist()
+    try:
+        if fresh.isEmpty():
+            return spark.createDataFrame([], fresh.schema)
+        write_csv(fresh, path)
+    finally:
+        fresh.unpersist()
     return stored()

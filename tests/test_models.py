@@ -56,10 +56,30 @@ def test_silhouette_matches_brute_force_with_a_singleton(spark):
     assert got["one"] is None
 
 
-def test_silhouette_refuses_unbounded_input(spark, monkeypatch):
-    monkeypatch.setattr(km, "MAX_SILHOUETTE_POINTS", 10)
-    with pytest.raises(ValueError):
-        km.silhouette_exact(blobs(spark).withColumn("c", F.lit(1)), ["x", "y"], ["c"])
+def test_silhouette_is_the_same_in_blocks(spark, monkeypatch):
+    df = blobs(spark).withColumn("c", F.when(F.col("x") > 0, "far").otherwise("near"))
+    whole = km.silhouette_exact(df, ["x", "y"], ["c"]).first()[1]
+    monkeypatch.setattr(km, "_POINTS_PER_BLOCK", 10)
+    assert km.silhouette_exact(df, ["x", "y"], ["c"]).first()[1] == pytest.approx(whole, abs=1e-12)
+
+
+def test_silhouette_takes_more_points_than_a_task_should(spark):
+    many = spark.range(20_500).select((F.col("id") % 5 * 9 + F.rand(1)).alias("x"), F.rand(2).alias("y"), (F.col("id") % 5).alias("c"))
+    assert km.silhouette_exact(many, ["x", "y"], ["c"]).first()[1] > 0.8
+
+
+def test_fits_do_not_depend_on_the_layout(spark):
+    points = km.assemble(km.distinct_points(blobs(spark), ["x", "y"]), ["x", "y"])
+    centers = []
+    for parts in (1, 5):
+        with km.cached_points(points.repartition(parts)) as vectors:
+            centers.append(sorted(map(tuple, km.kmeans_fit(vectors, 3, restarts=2).clusterCenters())))
+    assert centers[0] == centers[1]
+
+
+def test_scaler_of_no_rows(spark):
+    scaler = km.Scaler.fit(spark.createDataFrame([], "x double"), ["x"])
+    assert scaler.means == (0.0,) and scaler.stds == (1.0,)
 
 
 def test_sweep_finds_the_blobs(spark):
