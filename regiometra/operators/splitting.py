@@ -7,40 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regiometra.operators.filters import hash_slice, sample_order
+from regiometra.operators.filters import LEVELS, hash_slice, sample_order
 
 
 def stratified_split(df: DataFrame, label: str, key: str, labels: Sequence[str],
                      test: float = 0.20, seed: int = 42, output: str = "is_test") -> DataFrame:
     """Flag exactly rint(test * n) rows of every label, by smallest hash of the key.
 
-    Rows are counted per slice of the hash; only the slice in which the cut falls is
-    ordered. The result is one cut per label (a fixed, short list), against which every row is
+    Rows are counted per coarse slice of the hash and then per fine slice of the one in which the cut falls; only
+    that fine slice is ordered. The result is one cut per label (a fixed, short list), against which every row is
     compared in place: the table itself is never shuffled.
     """
     value = F.col(f"`{label}`")
     hashed = (df.filter(value.isin(list(labels)))
               .select(value.alias("_label"), F.col(f"`{key}`").alias("_key"),
-                      sample_order(key, seed).alias("_hash"))
-              .withColumn("_slice", hash_slice(F.col("_hash"))))
+                      sample_order(key, seed).alias("_hash")))
     whole = Window.partitionBy("_label")
-    slices = (hashed.groupBy("_label", "_slice").agg(F.count("*").alias("_n"))
-              .withColumn("_take", F.rint(F.lit(float(test)) * F.sum("_n").over(whole)))
-              .withColumn("_before", F.sum("_n").over(whole.orderBy("_slice")) - F.col("_n"))
-              .filter((F.col("_before") < F.col("_take"))
-                      & (F.col("_take") <= F.col("_before") + F.col("_n"))))
 
     def lookup(table: DataFrame, entry):
         """One-row map over the labels, as a constant."""
         pairs = F.collect_list(F.struct("_label", entry))
         return table.agg(F.map_from_entries(pairs).alias("m")).scalar()
 
-    edge = lookup(slices, F.struct("_slice", (F.col("_take") - F.col("_before")).alias("need")))
+    rows, edge = hashed, None
+    for digits in LEVELS:
+        slices = rows.groupBy("_label", hash_slice(F.col("_hash"), digits).alias("_slice")).agg(F.count("*").alias("_n"))
+        take = (F.rint(F.lit(float(test)) * F.sum("_n").over(whole)) if edge is None
+                else F.try_element_at(edge, F.col("_label"))["need"])
+        slices = (slices.withColumn("_take", take)
+                  .withColumn("_before", F.sum("_n").over(whole.orderBy("_slice")) - F.col("_n"))
+                  .filter((F.col("_before") < F.col("_take"))
+                          & (F.col("_take") <= F.col("_before") + F.col("_n"))))
+        edge = lookup(slices, F.struct("_slice", (F.col("_take") - F.col("_before")).alias("need")))
+        rows = hashed.filter(hash_slice(F.col("_hash"), digits) == F.try_element_at(edge, F.col("_label"))["_slice"])
+
     order = Window.partitionBy("_label").orderBy("_hash", "_key")
-    cuts = (hashed.withColumn("_edge", F.try_element_at(edge, F.col("_label")))
-            .filter(F.col("_slice") == F.col("_edge._slice"))
-            .withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") == F.col("_edge.need")))
+    cuts = (rows.withColumn("_rank", F.row_number().over(order))
+            .filter(F.col("_rank") == F.try_element_at(edge, F.col("_label"))["need"]))
     cut = F.try_element_at(lookup(cuts, F.struct("_hash", "_key")), value)
     here = F.struct(sample_order(key, seed).alias("_hash"), F.col(f"`{key}`").alias("_key"))
     return df.withColumn(output, F.coalesce(here <= cut, F.lit(False)))
