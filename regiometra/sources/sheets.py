@@ -20,23 +20,48 @@ from regiometra.sources.tables import BOM
 
 _FILES_TO_BROADCAST = 20_000
 _SPLITS_TO_BROADCAST = 200_000
-_ROWS_PER_FILE = 2 ** 40  # leaves room for eight million files in a bigint
 
 
-def read_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> DataFrame:
-    """(file_path, row_no, line): every line of every file with its 0-based position.
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _staged_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Tagged lines of all files that can be read to their end, and the paths of the others.
+
+    Reading is strict. A file that fails is left out as a whole and the rest is read again.
+    """
+    broken: list[str] = []
+    while True:
+        reader = spark.read.option("ignoreCorruptFiles", False).option("recursiveFileLookup", True)
+        read = reader.text(path)
+        if broken:  # rare, so only then are the files named one by one
+            left = [f for f in read.inputFiles() if _plain(f) not in broken]
+            read = reader.text(left) if left else read.filter(F.lit(False))
+        text = read.select(F.col("_metadata.file_path").alias("file_path"),
+                           F.col("_metadata.file_block_start").alias("_split"),
+                           F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+        try:
+            return stage(text, "sheet-lines"), broken
+        except Exception as error:
+            named = re.search(r"FAILED_READ_FILE.*? reading file (\S+?)\.?\s", str(error), re.DOTALL)
+            if not named:
+                raise
+            failed = _plain(named.group(1))
+            if failed in broken:
+                raise
+            broken.append(failed)
+
+
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(file_path, row_no, line): every line of every readable file with its 0-based position; and unreadable files.
 
     Positions are dense within a file: lines before the split (a running sum over one row
     per split) plus the place within the split. The tagged lines are staged, because how
     files are cut into splits may change from one job to the next, and as columns the tags
     can be read without the text.
     """
-    text = (spark.read.option("ignoreCorruptFiles", ignore_corrupt)
-            .option("recursiveFileLookup", True).text(path)
-            .select(F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_block_start").alias("_split"),
-                    F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")))
-    lines = stage(text, "sheet-lines")
+    lines, broken = _staged_lines(spark, path)
     splits = lines.groupBy("file_path", "_split").agg(F.min("_at").alias("_first"),
                                                        F.count("*").alias("_lines"))
     earlier = (Window.partitionBy("file_path").orderBy("_split")
@@ -49,7 +74,7 @@ def read_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> D
         offsets = F.broadcast(offsets)
     return (lines.join(offsets, ["file_path", "_split"])
             .select("file_path", (F.col("_before") + F.col("_at") - F.col("_first")).alias("row_no"),
-                    "line"))
+                    "line")), broken
 
 
 def _cells(line: Column, separator: str) -> Column:
@@ -90,15 +115,15 @@ class SheetFolder:
         self.spark = spark
         self.header_row = header_row
         self.separator = separator
-        self._lines = read_lines(spark, path)
-        broken = F.col("line").contains("\ufffd") | F.col("line").contains("\x00")
+        self._lines, unreadable = read_lines(spark, path)
+        broken = ~F.is_valid_utf8("line") | F.col("line").contains("\x00")
         header_line = F.max(F.when(F.col("row_no") == header_row, F.col("line")))
         # One header line and one flag per file, combined before the shuffle.
         found = (self._lines.groupBy("file_path")
-                 .agg(header_line.alias("_line"), F.bool_or(broken).alias("_broken")))
+                 .agg(header_line.alias("_line"), F.bool_or(broken).alias("_broken"), F.count("*").alias("_rows")))
         # The reader's listing brings in files that gave no line at all.
         reader = spark.read.option("recursiveFileLookup", True).text(path)
-        names = [(re.sub("^file:/+", "file:/", name),) for name in reader.inputFiles()]
+        names = [(_plain(name),) for name in reader.inputFiles()]
         listed = spark.createDataFrame(names, "_listed string")
         local = F.regexp_replace("file_path", "^file:/+", "file:/")
         files = (listed.join(found, F.col("_listed") == local, "left")
@@ -107,14 +132,15 @@ class SheetFolder:
         named = F.array_compact("header")
         wanted = F.array(*[F.lit(c) for c in required]).cast("array<string>")
         lacking = F.array_except(wanted, named)
-        error = (F.when(F.col("_broken").isNull(), F.lit("empty or unreadable"))
+        failed = F.col("_listed").isin(unreadable) if unreadable else F.lit(False)
+        error = (F.when(failed | F.col("_broken").isNull(), F.lit("empty or unreadable"))
                  .when(F.col("_broken"), F.lit("not valid text"))
                  .when(F.coalesce(F.size(named), F.lit(0)) <= 0, F.lit("no header row"))
                  .when(F.size(lacking) > 0, F.concat(F.lit("missing columns: "),
                                                      F.array_join(lacking, ", "))))
-        # One row per file, so numbering them in one window is cheap.
-        number = F.row_number().over(Window.orderBy("file_path")).cast("bigint")
-        self._files = stage(files.select("file_path", number.alias("file_no"), "header",
+        # One row per file, so a running sum over them in one window is cheap.
+        earlier = F.sum("_rows").over(Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1))
+        self._files = stage(files.select("file_path", F.coalesce(earlier, F.lit(0)).alias("_sooner"), "header",
                                          error.alias("error")), "sheet-headers")
 
     @property
@@ -140,15 +166,15 @@ class SheetFolder:
         """
         layouts = self.layouts()
         names = sorted({n for header, _ in layouts for n in header if n})
-        headers = (self._files.filter(F.col("error").isNull()).select("file_path", "file_no", "header"))
+        headers = (self._files.filter(F.col("error").isNull()).select("file_path", "_sooner", "header"))
         if sum(files for _, files in layouts) <= _FILES_TO_BROADCAST:
             headers = F.broadcast(headers)
         body = (self._lines.filter((F.col("row_no") > self.header_row)
                                    & (F.trim(F.col("line")) != ""))
                 .join(headers, "file_path")
-                .select("file_path", "row_no", "file_no", "header",
+                .select("file_path", "row_no", "_sooner", "header",
                         _cells(F.col("line"), self.separator).alias("_cells")))
-        position = F.col("file_no") * F.lit(_ROWS_PER_FILE) + F.col("row_no")
+        position = F.col("_sooner") + F.col("row_no")
         return body.select("file_path", "row_no", position.alias("position"), *[
             _unquoted(F.get("_cells", F.array_position("header", F.lit(n)).cast("int") - 1)).alias(n)
             for n in names])

@@ -52,3 +52,20 @@ def test_reports_without_columns_are_empty(spark):
     for name in ("lagging_rate", "lagging_top", "weakest_share", "weakest_share_lagging"):
         assert tables[name].count() == 0
     assert tuple(tables["cluster_kpis"].first()) == (0, 0)
+
+
+def test_a_truncated_sheet_is_rejected_as_a_whole(spark, tmp_path):
+    import gzip
+
+    from regiometra.sources.sheets import SheetFolder
+
+    good = "K,N\n" + "".join(f"{i},x�\n" for i in range(50))
+    (tmp_path / "a.csv").write_text(good)
+    (tmp_path / "c.csv").write_text(good)
+    whole = gzip.compress(("K,N\n" + "".join(f"{i},{i * i % 977}\n" for i in range(200_000))).encode())
+    (tmp_path / "b.csv.gz").write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "d.csv").write_bytes(b"K,N\n1,\xff\xfe\n")
+    sheets = SheetFolder(spark, str(tmp_path), header_row=0)
+    rows = sheets.rows().collect()
+    assert {r.error for r in sheets.rejects.collect()} == {"empty or unreadable", "not valid text"}
+    assert len(rows) == 100 and {r.N for r in rows} == {"x�"} and len({r.position for r in rows}) == 100

@@ -73,7 +73,7 @@ def test_positions_are_dense_across_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
     try:
-        read = sh.read_lines(spark, str(tmp_path)).persist()
+        read = sh.read_lines(spark, str(tmp_path))[0].persist()
         big = read.filter(F.col("file_path").endswith("big.txt"))
         assert big.count() == 20_000
         wrong = big.filter(F.col("row_no") != F.substring("line", 6, 6).cast("bigint"))
