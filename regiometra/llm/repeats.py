@@ -19,6 +19,7 @@ A null text is empty. A null id counts as larger than every other. Rows of equal
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -45,7 +46,9 @@ class Kind:
     """What a unit is, how long windows and anchors are, and whether a document repeats itself.
 
     ``compare(contexts)`` gets the differing contexts of some anchors and returns (context, offset) of every window
-    and the number of its class, equal exactly for equal windows.
+    and the number of its class, equal exactly for equal windows. ``trim(contexts, offsets, groups)``, if there is one,
+    gets contexts with the places and numbers of their anchors and returns bounds outside of which no window can
+    equal one of another context of the anchor.
     """
 
     words: bool
@@ -53,6 +56,10 @@ class Kind:
     gram: int
     within: bool
     compare: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    trim: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+
+    def cut(self, context: bytes, start: int, end: int) -> bytes:
+        return b" ".join(context.split(b" ")[start:end]) if self.words else context[start:end]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -137,7 +144,7 @@ class Units:
 
 
 def entries(units: list[Units], kind: Kind, full: bool) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows of all documents: hash, document, first and last window start, context hash.
+    """Anchors of all windows of all documents: hash, document, first and last window start, place, context hash.
 
     Short documents share a slab; a long one is cut into slabs that overlap by a window.
     """
@@ -163,7 +170,7 @@ def entries(units: list[Units], kind: Kind, full: bool) -> tuple[np.ndarray, ...
             doc, shift = np.array([d for d, _, _ in held]), np.array([s for _, s, _ in held]) - (ends - sizes)
             own = owner[first]
             context = _spans_hash(values, first, last + kind.window) if full else first
-            found.append([grams[anchor[first]], doc[own], first + shift[own], last + shift[own], context])
+            found.append([grams[anchor[first]], doc[own], first + shift[own], last + shift[own], anchor[first] + shift[own], context])
         held.clear()
 
     size = 0
@@ -180,7 +187,7 @@ def entries(units: list[Units], kind: Kind, full: bool) -> tuple[np.ndarray, ...
                 size = 0
     scan()
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -226,6 +233,12 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
+def release(spark) -> None:
+    """Lets Spark delete shuffle files of finished jobs now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """The documents bucketed by id in the shared folder, each (id, text) once, and the number of buckets."""
     spark = docs.sparkSession
@@ -238,6 +251,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     dealt = rows.withColumn("db", F.pmod(F.xxhash64(F.lit(3), "id", "th"), F.lit(buckets)).cast("int"))
     (dealt.repartition(buckets, "db").write.option("path", folder).option("compression", "zstd")
      .bucketBy(buckets, "db").saveAsTable(name))
+    release(spark)
     return spark.table(name), buckets
 
 
@@ -279,26 +293,28 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
         return pd.DataFrame(rows, columns=["db", "anchors", "hot"])
 
     def send_contexts(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        columns = ["part", "db", "ids", "rows", "places", "anchors", "sizes", "data"]
+        columns = ["part", "db", "ids", "rows", "places", "anchors", "offsets", "sizes", "data"]
         if not len(frame) or not len(shared):
             return pd.DataFrame([], columns=columns)
         db = int(frame["db"].iloc[0])
         ids, ths, units = _opened(frame, kind)
-        anchor, doc, first, last, context = entries(units, kind, full=True)
+        anchor, doc, first, last, at_anchor, context = entries(units, kind, full=True)
         known = np.frombuffer(b"".join(shared["anchors"]), np.uint64)
         hot_known = np.frombuffer(b"".join(shared["hot"]), bool)
         order = np.argsort(known, kind="stable")
         known, hot_known = known[order], hot_known[order]
         at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
         used = known[at] == anchor
-        anchor, doc, first, last, context, is_hot = anchor[used], doc[used], first[used], last[used], context[used], hot_known[at[used]]
+        is_hot = hot_known[at[used]]
+        anchor, doc, first, last, at_anchor, context = (x[used] for x in (anchor, doc, first, last, at_anchor, context))
         if is_hot.any():  # each window becomes an entry of its own, under its own hash
             times = np.where(is_hot, last - first + 1, 1)
             spread = np.repeat(np.arange(len(anchor)), times)
             step = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
-            anchor, doc, first, last, context, is_hot = (x[spread] for x in (anchor, doc, first, last, context, is_hot))
+            anchor, doc, first, last, at_anchor, context, is_hot = (
+                x[spread] for x in (anchor, doc, first, last, at_anchor, context, is_hot))
             first = first + np.where(is_hot, step, 0)
-            last = np.where(is_hot, first, last)
+            last, at_anchor = np.where(is_hot, first, last), np.where(is_hot, first, at_anchor)
             own = {d: run_hashes(units[d].hashes(), kind.window) for d in np.unique(doc[is_hot]).tolist()}
             windows = np.array([own[d][s] for d, s in zip(doc[is_hot].tolist(), first[is_hot].tolist())], np.uint64)
             anchor[is_hot], context[is_hot] = mixed(windows), windows
@@ -306,15 +322,15 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
         rows = []
         local = _ranges(doc[known_later], first[known_later], last[known_later] + kind.window)
         if len(local):
-            rows.append((-1 - db, db, b"", _pack(local[:, 0]), _pack(local[:, 1:]), b"", b"", b""))
+            rows.append((-1 - db, db, b"", _pack(local[:, 0]), _pack(local[:, 1:]), b"", b"", b"", b""))
         sent = np.flatnonzero(~known_later)
         part = (mixed(anchor[sent]) >> shift).astype(np.int64)
         order = np.argsort(part, kind="stable")
         names, cuts = np.unique(part[order], return_index=True)
         for g, o in zip(names.tolist(), np.split(sent[order], cuts[1:]) if len(order) else []):
             pieces = [units[doc[i]].piece(int(first[i]), int(last[i]) + kind.window) for i in o]
-            rows.append((g, db, _pack(ids[doc[o]]), _pack(doc[o]), _pack(first[o]), _pack(anchor[o]),
-                         _pack(np.array([len(p) for p in pieces], np.int64)), b"".join(pieces)))
+            rows.append((g, db, _pack(ids[doc[o]]), _pack(doc[o].astype("<u4")), _pack(first[o]), _pack(anchor[o]),
+                         _pack((at_anchor[o] - first[o]).astype("<u2")), _pack(np.array([len(p) for p in pieces], "<u4")), b"".join(pieces)))
         return pd.DataFrame(rows, columns=columns)
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
@@ -323,7 +339,9 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
             return frame[["db", "rows", "places"]].set_axis(columns, axis=1)
         sizes = frame["ids"].map(len).to_numpy() // 8
         db = np.repeat(frame["db"].to_numpy(np.int64), sizes)
-        ids, docs_, first, lengths = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("ids", "rows", "places", "sizes"))
+        ids, first = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("ids", "places"))
+        docs_, lengths = (np.frombuffer(b"".join(frame[c]), "<u4").astype(np.int64) for c in ("rows", "sizes"))
+        offsets = np.frombuffer(b"".join(frame["offsets"]), "<u2").astype(np.int64)
         anchor = np.frombuffer(b"".join(frame["anchors"]), np.uint64)
         data = b"".join(frame["data"])
         ends = np.cumsum(lengths)
@@ -343,6 +361,23 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
         members = np.flatnonzero(different & ~again)
         if len(members):
             members = members[np.argsort(inverse[members], kind="stable")]
+            offsets, first = offsets.copy(), first.copy()
+            while kind.trim and len(members):  # shorter contexts may be equal, and without those others reach less far
+                low, high = kind.trim([pieces[i] for i in members], offsets[members], inverse[members])
+                fits = high - low >= kind.window
+                members, low, high = members[fits], low[fits], high[fits]
+                for i, a, b in zip(members.tolist(), low.tolist(), high.tolist()):
+                    pieces[i] = kind.cut(pieces[i], a, b)
+                first[members] += low
+                offsets[members] -= low
+                names.clear()
+                named = np.array([names.setdefault(pieces[i], len(names)) for i in members], np.int64)
+                again = later([inverse[members], named, offsets[members]], ids[members], row[members], first[members], kind.within)
+                gone = members[again]
+                hits.append((row[gone], first[gone], first[gone] + (high - low)[again]))
+                members = members[~again]
+                if not len(gone):
+                    break
             total, start = 0, 0
             for i in range(len(members)):
                 total += len(pieces[members[i]]) + 1
@@ -381,16 +416,16 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
     sent = stored.groupBy("db").applyInPandas(send_anchors, "part bigint, db int, anchors binary, counts binary")
     shared = sent.groupBy("part").applyInPandas(find_shared, "db int, anchors binary, hot binary")
     contexts = stored.groupBy("db").cogroup(shared.groupBy("db")).applyInPandas(
-        send_contexts, "part bigint, db int, ids binary, rows binary, places binary, anchors binary, sizes binary, data binary")
+        send_contexts, "part bigint, db int, ids binary, rows binary, places binary, anchors binary, offsets binary, sizes binary, data binary")
     found = contexts.groupBy("part").applyInPandas(settle, "db int, rows binary, ranges binary")
     return stored.groupBy("db").cogroup(found.groupBy("db")).applyInPandas(
         cut, "id bigint, th bigint, units bigint, removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
-def attach(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def attach(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", how: str = "inner") -> DataFrame:
     """Every row of ``docs`` with the columns of ``found`` for its id and text, under one struct ``__cut``."""
     data = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     ident = F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NO_ID))
     left = docs.withColumns({"__id": ident, "__th": F.xxhash64(data)})
     right = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.struct(*[F.col(c) for c in found.columns]).alias("__cut"))
-    return left.join(right, ["__id", "__th"]).drop("__id", "__th")
+    return left.join(right, ["__id", "__th"], how).drop("__id", "__th")

@@ -30,10 +30,26 @@ def suffix_array(values: list[int]) -> list[int]:
     before = [-1] * n
     high = n
     while high > 0:
-        low = group[order[high - 1]]
-        members = order[low:high]
-        if len(members) > 1:
-            members.sort()
+        i = order[high - 1]
+        low = group[i]
+        if high - low == 1:  # most groups: the one suffix before goes to the end of its group
+            j = i - 1
+            while j >= 0 and group[j] >= low:
+                j = before[j]
+            before[i] = j
+            if j >= 0:
+                g = group[j]
+                size[g] -= 1
+                end = g + size[g]
+                if end > g:
+                    other, at = order[end], place[j]
+                    order[at], place[other] = other, at
+                    order[end], place[j] = j, end
+                    group[j] = end
+                size[end] = 1
+            high = low
+            continue
+        members = sorted(order[low:high])
         times: dict[int, int] = {}
         for i in members:
             j = i - 1
@@ -91,8 +107,47 @@ def window_classes(contexts: list[bytes], window: int) -> tuple[np.ndarray, np.n
     return owner[order], offset[order], np.cumsum(new)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 28, key: str = "doc_id", text: str = "text",
+def _agreement(table: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """For every row, how many leading bytes it shares with the row of its group that it agrees with most."""
+    width = table.shape[1]
+    keyed = np.concatenate([groups.astype(">u4").view(np.uint8).reshape(-1, 4), table], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"V{width + 4}").ravel(), kind="stable")
+    differs = table[order][1:] != table[order][:-1]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), width) * (groups[order][1:] == groups[order][:-1])
+    most = np.maximum(np.concatenate([[0], shared]), np.concatenate([shared, [0]]))
+    out = np.empty(len(table), np.int64)
+    out[order] = most
+    return out
+
+
+def reach(contexts: list[bytes], offsets: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds in each context beyond which it differs from all others of its anchor, on either side of the anchor.
+
+    Contexts come sorted by ``groups``.
+    """
+    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    _, groups = np.unique(groups, return_inverse=True)
+
+    def side(length: np.ndarray, step: int) -> np.ndarray:
+        reached = np.zeros(len(sizes), np.int64)
+        b = 0
+        while b < len(sizes):  # whole groups at a time
+            a, b = b, min(b + (1 << 17), len(sizes))
+            b = int(np.searchsorted(groups, groups[b - 1], "right"))
+            columns = np.arange(length[a:b].max())
+            inside = columns < length[a:b, None]
+            at = (starts + offsets - (step < 0))[a:b, None] + step * columns
+            table = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+            reached[a:b] = np.minimum(_agreement(table, groups[a:b]), length[a:b]) if len(columns) else 0
+        return reached
+
+    return offsets - side(offsets, -1), offsets + side(sizes - offsets, 1)
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, key: str = "doc_id", text: str = "text",
                    hot: int = repeats.HOT) -> DataFrame:
     """``id, th, units, removed, spans, kept`` after removing bytes in windows that a smaller id also has."""
-    kind = repeats.Kind(False, window, gram, False, lambda contexts: window_classes(contexts, window))
+    kind = repeats.Kind(False, window, gram, False, lambda contexts: window_classes(contexts, window), reach)
     return repeats.find_and_cut(docs, kind, key, text, hot)

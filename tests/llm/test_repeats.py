@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,25 @@ def test_spans_and_kept_are_whole(spark):
     rows = {r.id: r for r in suffix_array.remove_repeats(docs, 5, 3).collect()}
     assert rows[1].kept == b"abcdefghijkl" and rows[2].kept == b"xxyy"
     assert [tuple(s) for s in rows[2].spans] == [(2, 9)]
+
+
+def test_reach_keeps_every_shared_window():
+    rng = random.Random(8)
+    contexts, offsets, groups = [], [], []
+    for g in range(12):
+        anchor = bytes(rng.choice(b"abc") for _ in range(3))
+        for _ in range(rng.randint(1, 9)):
+            left = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 5)))
+            contexts.append(left + anchor + bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 7))))
+            offsets.append(len(left))
+            groups.append(g * 5)
+    low, high = suffix_array.reach(contexts, np.array(offsets), np.array(groups))
+    for i, c in enumerate(contexts):
+        best = [0, 0]
+        for j, d in enumerate(contexts):
+            if i != j and groups[i] == groups[j]:
+                a, b = c[offsets[i]:], d[offsets[j]:]
+                best[1] = max(best[1], next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+                a, b = c[:offsets[i]][::-1], d[:offsets[j]][::-1]
+                best[0] = max(best[0], next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+        assert (low[i], high[i]) == (offsets[i] - best[0], offsets[i] + best[1])
