@@ -42,9 +42,9 @@ def fill(sizes: Mapping, weights: Mapping, share: float = 1.5, most: float = 2.0
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, fitted: int = FITTED_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes as near below the budget as can be.
+    """How many documents of each length to take so that their sum comes as near the budget as can be.
 
-    All but about ``fitted`` words of the budget are taken in proportion; the rest is exact subset sum.
+    On ties the smaller sum is taken. All but about ``fitted`` words of the budget are taken in proportion; the rest is exact subset sum.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     taken = np.zeros_like(counts)
@@ -63,9 +63,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, fitted: int =
             rest -= more * int(sizes[i])
     if rest <= 0:
         return taken
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
+    limit = 2 * rest  # a sum beyond is farther from the budget than none
+    mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
     for i in order:
-        left = min(int(counts[i] - taken[i]), rest // int(sizes[i])) if sizes[i] > 0 else 0
+        left = min(int(counts[i] - taken[i]), limit // int(sizes[i])) if sizes[i] > 0 else 0
         piece = 1
         while left and not reach >> rest & 1:
             piece = min(piece, left)
@@ -73,7 +74,9 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, fitted: int =
             reach |= (reach << (piece * int(sizes[i]))) & mask
             left -= piece
             piece *= 2
-    at = reach.bit_length() - 1
+    at, over = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1, reach >> (rest + 1)
+    if over and (over & -over).bit_length() < rest - at:
+        at = rest + (over & -over).bit_length()
     for i, piece, before in reversed(steps):
         if not before >> at & 1:
             taken[i] += piece
