@@ -19,6 +19,7 @@ A null text is empty. A null id counts as larger than every other. Rows of equal
 
 from __future__ import annotations
 
+import functools
 import gc
 import math
 from collections.abc import Callable
@@ -111,16 +112,21 @@ _BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 _BACK = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 
 
+@functools.lru_cache(maxsize=2)
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    power, back = np.full(count, _MULTIPLIER), np.full(count, _BACK)
+    power[0] = back[0] = 1
+    return np.cumprod(power), np.cumprod(back)
+
+
 def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for many spans, from prefix sums of a polynomial."""
     if not len(values):
         return np.zeros(len(starts), np.uint64)
-    power = np.full(len(values), _MULTIPLIER)
-    power[0] = 1
-    back = np.full(len(values) + 1, _BACK)
-    back[0] = 1
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(power))])
-    return mixed((prefix[ends] - prefix[starts]) * np.cumprod(back)[starts] + (ends - starts).astype(np.uint64))
+    power, back = _powers(1 << len(values).bit_length())
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:len(values)])])
+    return mixed((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 class Units:
@@ -219,14 +225,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _ranges(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(document, start, end) with the ranges of each document merged."""
-    out = []
-    order = np.argsort(doc, kind="stable")
-    doc, starts, ends = doc[order], starts[order], ends[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-    for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-        s, e = merged(starts[a:b], ends[a:b])
-        out.append(np.stack([np.full(len(s), doc[a]), s, e], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    names, place = np.unique(doc, return_inverse=True)
+    shift = place.ravel() << 33  # documents follow one another on one line, too far apart to touch
+    starts, ends = merged(shift + starts, shift + ends)
+    place = starts >> 33
+    return np.stack([names[place], starts - (place << 33), ends - (place << 33)], axis=1)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
