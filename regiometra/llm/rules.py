@@ -34,14 +34,15 @@ def _let(value: str, name: str, body: str) -> str:
 
 def _repeat_words() -> str:
     """Words in windows of three that occur at least twice; sorting is skipped where all windows differ."""
-    windows = (f"transform(slice({_WORDS}, 1, greatest(size({_WORDS}) - 2, 0)), (w, i) -> "
-               f"concat_ws(' ', w, get({_WORDS}, i + 1), get({_WORDS}, i + 2)))")
+    windows = ("transform(slice(v, 1, greatest(size(v) - 2, 0)), (w, i) -> "
+               "concat_ws(' ', w, get(v, i + 1), get(v, i + 2)))")
     positions = ("sort_array(array_compact(transform(s, (x, i) -> if(x.t = get(s, i - 1).t OR x.t = get(s, i + 1).t, "
                  "x.p, NULL))))")
     covered = (f"aggregate({positions}, named_struct('n', 0L, 'last', -3), (a, p) -> "
                "named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n)")
     found = _let("sort_array(transform(t, (x, i) -> named_struct('t', x, 'p', i)))", "s", covered)
-    return _let(windows, "t", f"if(size(array_distinct(t)) = size(t), 0L, {found})")
+    # The words are bound as well: a filter may be moved below the split, which must not run once per window.
+    return _let(_WORDS, "v", _let(windows, "t", f"if(size(array_distinct(t)) = size(t), 0L, {found})"))
 
 
 #: Measures as SQL over the prepared text and words, each 64-bit.
