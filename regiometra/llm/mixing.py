@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source's target is taken as whole passes over its documents plus a remaining budget below one pass. For the
-budget, documents are counted by exact length, a proportional share of every length is taken, and a
-bounded-knapsack dynamic programme over the leftover counts fits what is still missing. It yields a count per
-length; seeded hash ranks then choose that many documents of each length.
+budget, documents are counted by exact length, a proportional share of every length is taken, rounded by seeded
+points so that rare lengths get theirs too, and a bounded-knapsack dynamic programme over the leftover counts fits
+the last words. It yields a count per length; seeded hash ranks then choose that many documents of each length.
 
 Null sources are one source, last in order. Documents of size 0 are in every pass and never in a budget. A source
 of size 0 has target 0. Equal documents are chosen independently. An empty table gives an empty mix.
@@ -41,37 +41,46 @@ def fill(sizes: Mapping, weights: Mapping, share: float = 1.5, most: float = 2.0
     return targets
 
 
-def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, fitted: int = FITTED_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes as near the budget as can be.
+def _in_proportion(sizes: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Generator) -> np.ndarray:
+    """How many documents of each length to take for a sum just below the budget, the same share of every length.
 
-    On ties the smaller sum is taken. All but about ``fitted`` words of the budget are taken in proportion; the rest is exact subset sum.
+    Lengths are walked from the longest down, each with its share of what is still missing. Shares add up along the
+    walk, and one seeded point in every unit of their sum takes a document, so rare lengths get their turn.
     """
-    sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     taken = np.zeros_like(counts)
-    whole = int((sizes * counts).sum())
-    budget = max(0, min(int(budget), whole))
-    if budget == whole:
-        return np.where(sizes > 0, counts, 0)
-    if budget > fitted:
-        taken = np.array([int(c) * (budget - fitted) // whole for c in counts], np.int64)
-    rest = budget - int((sizes * taken).sum())
-    order = np.argsort(-sizes, kind="stable")
-    for i in order:
-        if sizes[i] > 0 and rest - fitted >= sizes[i]:
-            more = min(int(counts[i] - taken[i]), (rest - fitted) // int(sizes[i]))
-            taken[i] += more
-            rest -= more * int(sizes[i])
-    if rest <= 0:
-        return taken
+    left, missing = int((sizes * counts).sum()), budget
+    total, passed, point = 0.0, 0, rng.random()
+    for i in np.argsort(-sizes, kind="stable"):
+        size, count = int(sizes[i]), int(counts[i])
+        if missing <= 0 or size <= 0:
+            break
+        before, total = int(total), total + count * min(1.0, missing / left)
+        left -= size * count
+        if int(total) > before:
+            point = rng.random()
+        points = int(total) + (total - int(total) >= point)
+        least = -((left - missing) // size)  # what the shorter ones cannot make up for
+        most = min(count, missing // size)
+        taken[i] = min(most, max(least, points - passed, 0))
+        passed += int(taken[i])
+        missing -= int(taken[i]) * size
+    return taken
+
+
+def _completed(sizes: np.ndarray, counts: np.ndarray, taken: np.ndarray, rest: int, rng: np.random.Generator) -> np.ndarray:
+    """``taken`` and, by bounded knapsack, of the other documents those that bring it nearest to ``rest`` words more."""
+    taken = taken.copy()
     limit = 2 * rest  # a sum beyond is farther from the budget than none
     mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
-    for i in order:
+    for i in rng.permutation(len(sizes)):
         left = min(int(counts[i] - taken[i]), limit // int(sizes[i])) if sizes[i] > 0 else 0
         piece = 1
         while left and not reach >> rest & 1:
             piece = min(piece, left)
-            steps.append((i, piece, reach))
-            reach |= (reach << (piece * int(sizes[i]))) & mask
+            wider = reach | (reach << (piece * int(sizes[i]))) & mask
+            if wider != reach:
+                steps.append((i, piece, reach))
+            reach = wider
             left -= piece
             piece *= 2
     at, over = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1, reach >> (rest + 1)
@@ -84,6 +93,30 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, fitted: int =
     return taken
 
 
+def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, fitted: int = FITTED_WORDS, seed: int = 17) -> np.ndarray:
+    """How many documents of each length to take so that their sum comes as near the budget as can be.
+
+    On ties the smaller sum is taken. All but the last words are taken in proportion, the same share of every length;
+    the rest is exact subset sum, over few words first and, where those do not meet the budget, over up to about ``fitted``.
+    """
+    sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
+    whole = int((sizes * counts).sum())
+    budget = max(0, min(int(budget), whole))
+    if budget == whole:
+        return np.where(sizes > 0, counts, 0)
+    best, nearest = np.zeros_like(counts), (budget, 0)
+    for last in sorted({fitted >> 8, fitted >> 4, fitted}):
+        rng = np.random.default_rng(seed)
+        taken = _in_proportion(sizes, counts, budget - last, rng)
+        taken = _completed(sizes, counts, taken, budget - int((sizes * taken).sum()), rng)
+        total = int((sizes * taken).sum())
+        if (abs(total - budget), total) < nearest:
+            best, nearest = taken, (abs(total - budget), total)
+        if total == budget:
+            break
+    return best
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), size: str = "size", source: str = "source",
         key: tuple[str, ...] = ("doc_id",), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``copies``, how often the mix takes each document.
@@ -105,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), size: str = "si
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__l", kind="stable")
-        counts = fit_counts(group["__l"].to_numpy(), group["__c"].to_numpy(), budgets[group["__s"].iloc[0]])
+        counts = fit_counts(group["__l"].to_numpy(), group["__c"].to_numpy(), budgets[group["__s"].iloc[0]], seed=seed)
         return group[["__s", "__l"]].assign(__take=counts)
 
     chosen = lengths.groupBy("__s").applyInPandas(fitted, "__s string, __l bigint, __take bigint")

@@ -38,6 +38,29 @@ def test_fit_of_large_counts_comes_near():
     assert (sizes * taken).sum() == budget and (taken <= counts).all()
 
 
+@pytest.mark.parametrize("copies, budget_share", [(1, 0.4), (1, 0.7), (3, 0.55), (50, 0.6)])
+def test_every_band_of_lengths_gives_its_share(copies, budget_share):
+    sizes, counts = np.arange(1, 2_001), np.full(2_000, copies)
+    budget = round(budget_share * int((sizes * counts).sum()))
+    shares = []
+    for seed in (17, 18):
+        taken = mixing.fit_counts(sizes, counts, budget, seed=seed)
+        assert (taken >= 0).all() and (taken <= counts).all() and (sizes * taken).sum() == budget
+        bands = [taken[k:k + 200].sum() / counts[k:k + 200].sum() for k in range(0, 2_000, 200)]
+        assert bands == pytest.approx([budget_share] * 10, abs=0.05)
+        shares.append(taken.tolist())
+    assert shares[0] != shares[1]
+
+
+def test_a_small_source_gives_long_and_short_documents_alike():
+    lengths, counts = np.unique(np.random.default_rng(5).integers(20, 160, 500), return_counts=True)
+    budget = int((lengths * counts).sum()) * 6 // 10
+    taken = mixing.fit_counts(lengths, counts, budget)
+    assert (lengths * taken).sum() == budget
+    for band in np.array_split(np.arange(len(lengths)), 5):
+        assert taken[band].sum() / counts[band].sum() == pytest.approx(0.6, abs=0.12)
+
+
 def test_query(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = QUERIES["op5_subset_sum_mixing"](spark, SMALL).collect()
