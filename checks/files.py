@@ -121,12 +121,12 @@ _SHEET_TARGET = "CASE WHEN l_linenumber % 6 <> 0 THEN concat('T', l_linestatus)
 _ORDER = "l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_extendedprice"
 
 
-def write_sheets(spark, folder, bad: bool = False) -> str:
-    """With ``bad``, every eighth sheet lacks the header line below its titles."""
+def write_sheets(spark, folder, bad: bool = False, txt: str = _SHEET_TEXT) -> str:
+    """With ``bad``, every eighth sheet lacks the header line below its titles. ``txt`` is the free text, quotes doubled."""
     path = new_folder(spark, "sheets")
     lines = table(spark, folder, "lineitem").selectExpr(
         f"l_orderkey % {_SHEETS} AS sheet", f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS pos",
-        f"{_SHEET_TEXT} AS txt", f"{_SHEET_TARGET} AS target", "l_quantity AS amount", "l_orderkey")
+        f"{txt} AS txt", f"{_SHEET_TARGET} AS target", "l_quantity AS amount", "l_orderkey")
     cell = "if(pos = 1, {}, '')".format
     text = F.concat_ws(",", *[F.expr(e) for e in (
         cell("concat('P', l_orderkey % 7)"), cell("concat('Prov, ', l_orderkey % 7)").replace(
@@ -162,6 +162,19 @@ def _(spark, folder):
     return rows.select("row_no", "KODE PROV", "NAMA PROVINSI", "KODE DESA", "KETERANGAN", "NILAI", "TARGET IDM 2025")
 
 
+_BROKEN_TEXT = ("CASE WHEN l_linenumber % 4 = 0 THEN concat('baris {q}satu{q},', chr(10), chr(10), l_orderkey, ',x') "
+                "WHEN l_linenumber % 4 = 1 THEN concat(l_returnflag, chr(10)) ELSE l_returnflag END")
+
+
+@check("src4_line_breaks_in_cells", f"""WITH {_ROWS.replace(_SHEET_TEXT, _BROKEN_TEXT.format(q='"'))} SELECT row_no,
+  CASE WHEN pos = 1 THEN k::VARCHAR END AS "KODE DESA", txt AS "KETERANGAN", amount::INT::VARCHAR AS "NILAI",
+  target AS "TARGET IDM 2025" FROM y""")
+def _(spark, folder):
+    path = write_sheets(spark, folder, txt=_BROKEN_TEXT.format(q='""'))
+    rows = sh.read_directory(spark, path, header_row=3, required=["KODE DESA"])
+    return rows.select("row_no", "KODE DESA", "KETERANGAN", "NILAI", "TARGET IDM 2025")
+
+
 @check("src5_rejected_files", f"""SELECT 'no header row' AS error, count(DISTINCT l_orderkey % {_SHEETS}) AS n
   FROM lineitem WHERE l_orderkey % 8 = 3""")
 def _(spark, folder):

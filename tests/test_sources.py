@@ -1,5 +1,8 @@
 """Readers, writers and the flow through files, on small hand-made files."""
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +88,33 @@ def test_positions_are_dense_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("split", ["64", "1000", "128m"])
+def test_line_breaks_in_cells_across_splits(spark, tmp_path, split):
+    rng = random.Random(3)
+    texts = ["plain", "a, b", "line one\nline two", '5" pipe', 'say "hi",\n\n"ho"\n', "\n", '"', 'x\n",y', "", 'end"\n']
+    rows = [[str(i), rng.choice(texts), rng.choice(texts)] for i in range(400)]
+    folder = tmp_path / "s"
+    folder.mkdir()
+    for name, part in (("a.csv", rows[:350]), ("b.csv", rows[350:])):
+        with open(folder / name, "w", newline="", encoding="utf-8") as out:
+            out.write('"Judul\nbaris dua"\n')
+            csv.writer(out, lineterminator="\n").writerows([["key", "One", "two\nlines"], *part])
+    (folder / "open.csv").write_text('t\nkey,one\n1,"never closed\n2,x\n')
+    (folder / "stray.csv").write_text('t\nkey,one\nk1,5" pipe\nk2,"6"" pipe"\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        sheets = sh.SheetFolder(spark, str(folder), 1, required=["KEY"])
+        assert [(r["file_path"].rsplit("/", 1)[1], r["error"]) for r in sheets.rejects.collect()] == [
+            ("open.csv", "quoted cell without an end")]
+        got = sheets.rows().orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    have = [(r["KEY"], r["ONE"], r["TWO\nLINES"]) for r in got]
+    assert have == [(k, a or None, b or None) for k, a, b in rows] + [("k1", '5" pipe', None), ("k2", '6" pipe', None)]
+    assert [r["row_no"] for r in got] == [*range(2, 352), *range(2, 52), 2, 3]
+
+
 def test_header_names(spark):
     assert sh.normalize_header(spark.createDataFrame([(1, 2)], "` a ` int, b int")).columns == ["A", "B"]
 
