@@ -14,7 +14,7 @@ Documents are coded once into blocks of word numbers. Blocks ask the parts of th
 of their own words only, so no table of all words is ever in one place. Words are known by 64-bit hashes.
 
 A null text is empty and has the end alone. An empty table, or one without training rows, gives scores from smoothing
-alone. Repeated rows count each time they occur. Null keys are scored as any other.
+alone. Repeated rows count each time they occur; they are coded once, with their number as weight. Null keys are scored as any other.
 """
 
 from __future__ import annotations
@@ -40,19 +40,29 @@ _LOWER[0x41:0x5B] += 32
 
 @dataclass(frozen=True)
 class Block:
-    """Coded documents: tokens as places in ``words`` (by falling count), each document closed by the end."""
+    """Coded documents: tokens as places in ``words`` (by falling count), each document closed by the end.
+
+    ``weight`` tells how many rows a document stands for.
+    """
 
     words: np.ndarray
     tokens: np.ndarray
     ends: np.ndarray
     held: np.ndarray
+    weight: np.ndarray
 
     def training(self) -> np.ndarray:
         return ~np.repeat(self.held, np.diff(self.ends, prepend=0))
 
+    def weights(self) -> np.ndarray | None:
+        """The weight of every training token; none if all documents stand for one row."""
+        learn = ~self.held
+        return None if (self.weight == 1).all() else np.repeat(self.weight[learn], np.diff(self.ends, prepend=0)[learn])
+
 
-def code(texts: list[bytes], held: np.ndarray) -> Block:
+def code(texts: list[bytes], held: np.ndarray, weight: np.ndarray | None = None) -> Block:
     """A block of documents, tokenised slab by slab."""
+    weight = np.ones(len(texts), np.int64) if weight is None else weight
     found, sizes, start, size = [], np.zeros(len(texts), np.int64), 0, 0
     for i, text in enumerate(texts):
         size += len(text)
@@ -71,7 +81,7 @@ def code(texts: list[bytes], held: np.ndarray) -> Block:
     order = np.argsort(-times, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    return Block(words[order], rank[tokens.ravel()], np.cumsum(sizes), held)
+    return Block(words[order], rank[tokens.ravel()], np.cumsum(sizes), held, weight)
 
 
 def neighbours(block: Block, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +138,7 @@ def score_block(block: Block, counts: np.ndarray, classes: np.ndarray, tables: t
 def _opened(frame: pd.DataFrame) -> Block:
     row = frame.iloc[0]
     return Block(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32),
-                 np.frombuffer(row["ends"], np.int64), np.frombuffer(row["held"], bool))
+                 np.frombuffer(row["ends"], np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["weights"], np.int64))
 
 
 class Vocabulary:
@@ -154,24 +164,27 @@ class Vocabulary:
         return counts, classes
 
 
-_BLOCKS = "block int, words binary, tokens binary, ends binary, held binary, keys array<bigint>"
+_BLOCKS = "block int, words binary, tokens binary, ends binary, held binary, weights binary, keys array<bigint>"
 _WORDS = "part bigint, words binary, counts binary, classes binary"
 
 
 def _store(docs: DataFrame, key: str, text: str, held: Column) -> tuple[DataFrame, int]:
-    """Coded documents in the shared folder, bucketed by block, and the number of blocks."""
+    """Coded documents in the shared folder, bucketed by block, equal rows as one with a weight; and the number of blocks."""
     spark = docs.sparkSession
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), data.alias("data"), F.coalesce(held, F.lit(False)).alias("held"))
     total, count = rows.agg(F.sum(F.octet_length("data")), F.count("*")).first()
     blocks = max(6, math.ceil((total or 0) / BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "key", F.octet_length("data")), F.lit(blocks)).cast("int"))
+    # Equal rows are added up before they are dealt, so they meet in no task.
+    rows = rows.groupBy("key", "held", F.xxhash64("data").alias("th")).agg(F.first("data").alias("data"), F.count("*").alias("weight"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "key", "th"), F.lit(blocks)).cast("int"))
 
     def coded(frame: pd.DataFrame) -> pd.DataFrame:
-        block = code(list(frame["data"]), frame["held"].to_numpy(bool))
+        block = code(list(frame["data"]), frame["held"].to_numpy(bool), frame["weight"].to_numpy(np.int64))
         keys = [None if pd.isna(k) else int(k) for k in frame["key"]]
         return pd.DataFrame([(int(frame["block"].iloc[0]), block.words.tobytes(), block.tokens.tobytes(), block.ends.tobytes(),
-                              block.held.tobytes(), keys)], columns=["block", "words", "tokens", "ends", "held", "keys"])
+                              block.held.tobytes(), block.weight.tobytes(), keys)],
+                            columns=["block", "words", "tokens", "ends", "held", "weights", "keys"])
 
     name, folder = f"brown_{new_folder(spark, '')[-32:]}", new_folder(spark, "blocks")
     (dealt.groupBy("block").applyInPandas(coded, _BLOCKS).write.option("path", folder).option("compression", "zstd")
@@ -190,7 +203,7 @@ def lm_scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "t
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         block = _opened(frame)
-        times = np.bincount(block.tokens[block.training()], minlength=len(block.words)).astype(np.int64)
+        times = np.bincount(block.tokens[block.training()], block.weights(), minlength=len(block.words)).astype(np.int64)
         order, parts = deal.order(block.words)
         rows = [(p, int(frame["block"].iloc[0]), block.words[order[s]].tobytes(), times[order[s]].tobytes()) for p, s in parts]
         return pd.DataFrame(rows, columns=["part", "block", "words", "times"])
@@ -243,7 +256,8 @@ def lm_scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "t
         before, _ = neighbours(block, classes)
         own = classes[block.tokens]
         learn = block.training()
-        moves = np.bincount(before[learn].astype(np.int64) * CLASSES + own[learn], minlength=CLASSES * CLASSES)
+        moves = np.bincount(before[learn].astype(np.int64) * CLASSES + own[learn], block.weights(), minlength=CLASSES * CLASSES)
+        moves = moves.astype(np.int64)
         some = np.flatnonzero(moves)
         return pd.DataFrame({"move": some, "n": moves[some]})
 
@@ -259,7 +273,13 @@ def lm_scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "t
         before, after = neighbours(block, classes)
         learn = block.training()
         word = block.tokens[learn].astype(np.int64) * (2 * CLASSES)
-        keys, times = np.unique(np.concatenate([word + before[learn], word + CLASSES + after[learn]]), return_counts=True)
+        keys, weights = np.concatenate([word + before[learn], word + CLASSES + after[learn]]), block.weights()
+        if weights is None:
+            keys, times = np.unique(keys, return_counts=True)
+        else:
+            keys, inverse = np.unique(keys, return_inverse=True)
+            times = np.bincount(inverse.ravel(), np.tile(weights, 2), len(keys))
+        width = np.uint32 if times.max(initial=0) < 1 << 32 else np.uint64
         place, context = keys // (2 * CLASSES), (keys % (2 * CLASSES)).astype(np.uint8)
         order, parts = deal.order(block.words)
         first, last = np.searchsorted(place, np.arange(len(block.words))), np.searchsorted(place, np.arange(len(block.words)), "right")
@@ -270,7 +290,7 @@ def lm_scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "t
             chosen, sizes = chosen[sizes > 0], sizes[sizes > 0]
             take = np.repeat(first[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             rows.append((p, block.words[chosen].tobytes(), sizes.astype(np.uint8).tobytes(), context[take].tobytes(),
-                         times[take].astype(np.uint32).tobytes()))
+                         times[take].astype(width).tobytes()))
         return pd.DataFrame(rows, columns=["part", "words", "sizes", "contexts", "times"])
 
     def move_words(moves: np.ndarray | None):
@@ -283,7 +303,8 @@ def lm_scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "t
             at = np.searchsorted(own, np.frombuffer(b"".join(sent["words"]), np.uint64))
             sizes = np.frombuffer(b"".join(sent["sizes"]), np.uint8).astype(np.int64)
             context = np.frombuffer(b"".join(sent["contexts"]), np.uint8)
-            times = np.frombuffer(b"".join(sent["times"]), np.uint32)
+            times = np.concatenate([np.zeros(0), *(np.frombuffer(t, np.uint32 if len(t) == 4 * len(c) else np.uint64)
+                                                   for t, c in zip(sent["times"], sent["contexts"]))])
             target = np.repeat(at, sizes) * (2 * CLASSES) + context
             out = np.empty(len(own), np.uint8)
             order = np.argsort(target, kind="stable")
@@ -322,7 +343,7 @@ def lm_scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "t
     total, distinct = int(sizes.sum()), int(types.sum())
 
     def finish(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        columns = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        columns = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "weight"]
         if not len(frame):
             return pd.DataFrame([], columns=columns)
         block = _opened(frame)
@@ -331,8 +352,11 @@ def lm_scores(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "t
         each = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))[block.tokens]
         base = np.add.reduceat(each, np.concatenate([[0], block.ends[:-1]]))
         return pd.DataFrame({"key": pd.array(list(frame["keys"].iloc[0]), "Int64"), "held_out": block.held, "n_tokens": tokens,
-                             "n_known": known, "train_tokens": total, "base_score": base, "score": score}, columns=columns)
+                             "n_known": known, "train_tokens": total, "base_score": base, "score": score, "weight": block.weight}, columns=columns)
 
     scored = tagged(words, finish, "key bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                                   "base_score double, score double")
-    return scored.withColumnRenamed("key", key)
+                                   "base_score double, score double, weight bigint")
+    # A row of large weight comes back in two steps, so that no list of numbers is long.
+    scored = scored.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(weight - 1) div 1000"))))
+    scored = scored.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("least(1000, weight - 1000 * __k)"))))
+    return scored.drop("weight", "__k", "__n").withColumnRenamed("key", key)

@@ -251,7 +251,8 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(12, math.ceil(total / BUCKET_BYTES))
     name, folder = f"repeats_{new_folder(spark, '')[-32:]}", new_folder(spark, "documents")
-    dealt = rows.withColumn("db", F.pmod(F.xxhash64(F.lit(3), "id", "th"), F.lit(buckets)).cast("int"))
+    # Repeated rows meet in no task: each input task sends one of them.
+    dealt = rows.dropDuplicates(["id", "th"]).withColumn("db", F.pmod(F.xxhash64(F.lit(3), "id", "th"), F.lit(buckets)).cast("int"))
     (dealt.repartition(buckets, "db").write.option("path", folder).option("compression", "zstd")
      .bucketBy(buckets, "db").saveAsTable(name))
     release(spark)
@@ -259,9 +260,9 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
 
 
 def _opened(frame: pd.DataFrame, kind: Kind) -> tuple[np.ndarray, np.ndarray, list[Units]]:
-    """The documents of a bucket in order of (id, text hash), repeated rows once."""
-    once = frame.drop_duplicates(["id", "th"]).sort_values(["id", "th"], kind="stable")
-    return once["id"].to_numpy(np.int64), once["th"].to_numpy(np.int64), [Units(d, kind) for d in once["data"]]
+    """The documents of a bucket in order of (id, text hash)."""
+    frame = frame.sort_values(["id", "th"], kind="stable")
+    return frame["id"].to_numpy(np.int64), frame["th"].to_numpy(np.int64), [Units(d, kind) for d in frame["data"]]
 
 
 def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:

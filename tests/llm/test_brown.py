@@ -107,6 +107,22 @@ def test_exchange_separates_two_languages():
     assert sum(max(s.values()) for s in sides.values()) >= 0.9 * sum(sum(s.values()) for s in sides.values())
 
 
+def test_repeated_rows_are_coded_once_and_count_each_time(spark):
+    rows = [(1, "a b")] * 2_300 + [(1, "b a"), (2, "a b"), (None, "c"), (None, "c"), (4, "a q"), (4, "a q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    held = F.coalesce(F.col("doc_id") == 4, F.lit(False))
+    blocks, _ = brown._store(docs, "doc_id", "text", held)
+    weights = [w for r in blocks.collect() for w in np.frombuffer(r.weights, np.int64).tolist()]
+    assert sorted(weights) == [1, 1, 2, 2, 2_300]
+    have = brown.lm_scores(docs, held).collect()
+    want = sorted((k or 0, n, known, total, round(s, 9)) for (k, _), (n, known, total, s) in
+                  zip(rows, base(rows, [k == 4 for k, _ in rows])))
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in have) == want
+    singly = docs.withColumn("doc_id", F.when(F.col("doc_id") == 4, 4).otherwise(10 + F.monotonically_increasing_id()))
+    alone = brown.lm_scores(singly, F.col("doc_id") == 4).collect()
+    assert sorted(round(r.score, 9) for r in have) == sorted(round(r.score, 9) for r in alone)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "A b " * 20_000), (3, "A b " * 20_000), (None, "b c"), (4, "q")]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, block int")

@@ -119,6 +119,13 @@ def test_small_corpus_equals_brute_force(spark, monkeypatch, hot, slab):
     assert got(have) == brute_words(rows, 6)
 
 
+def test_repeated_rows_are_stored_once(spark):
+    rows = [(1, "a b c")] * 300 + [(2, "a b c"), (2, "d"), (None, None), (None, "")]
+    stored, _ = repeats.store(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7))
+    have = sorted((r.id, bytes(r.data)) for r in stored.collect())
+    assert have == [(1, b"a b c"), (2, b"a b c"), (2, b"d"), (repeats.NO_ID, b"")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix_array.remove_repeats(docs).count() == 0 and suffix_tree.remove_repeats(docs).count() == 0
