@@ -199,7 +199,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     """Texts and labels to train on: at most ``rows_per_class`` of each class by hash of the key.
 
     Documents of more than ``longest`` bytes are left out of the sample (never of scoring), which bounds its size.
-    Unlabelled and contradictory keys are not used; repeated rows count once.
+    Unlabelled and contradictory keys are not used; a key counts once, with its least text.
     """
     agreed = (labels.where(F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("k"))
               .agg(F.min(f"`{label}`").alias("y"), F.max(f"`{label}`").alias("z")).where("y = z AND k IS NOT NULL"))
@@ -208,6 +208,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
         return [], np.zeros(0)
     picked = docs.sparkSession.createDataFrame([(r.k, int(r.y)) for r in chosen], "k bigint, y int")
     rows = (docs.join(F.broadcast(picked), F.col(f"`{key}`") == F.col("k"))  # at most two classes of that many rows
-            .where(F.octet_length(f"`{text}`") <= longest).select("k", "y", F.col(f"`{text}`").alias("t")).collect())
-    once = sorted({r.k: r for r in rows}.values(), key=lambda r: r.k)
+            .where(F.octet_length(f"`{text}`") <= longest).groupBy("k", "y").agg(F.min(f"`{text}`").alias("t")).collect())
+    once = sorted(rows, key=lambda r: r.k)
     return [r.t.encode() for r in once], np.array([r.y for r in once])

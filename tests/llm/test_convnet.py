@@ -63,3 +63,12 @@ def test_edges(spark):
     scored = convnet.score(docs, convnet.train([], np.zeros(0))).collect()
     assert len(scored) == 5 and all(0 <= r.score <= 1 for r in scored)
     assert convnet.score(docs.limit(0), convnet.new_network(1)).count() == 0
+
+
+def test_sample_takes_the_least_text_of_a_repeated_key(spark):
+    rows = [(1, t) for t in ["b", "a", "c" * 99, None] + ["d"] * 50] + [(2, "z")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string")
+        texts, y = convnet.labelled_sample(docs, labels, "quality", 5, 10)
+        assert texts == [b"a", b"z"] and y.tolist() == [1, 0]
