@@ -85,7 +85,9 @@ def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarra
     nodes, vectors, top = tree["nodes"], tree["vectors"], tree["top"][0]
     queries = queries.astype(np.float64)
     norms = np.square(queries).sum(axis=1)
-    keep = min(k + 1, len(vectors))  # distinct vectors: the query's own and k others
+    pairs = np.unique(np.stack([tree["ids"], tree["owner"]]), axis=1)
+    own = np.unique(pairs[0], return_counts=True)[1].max(initial=1)
+    keep = min(k + int(own), len(vectors))  # distinct vectors: as many as one id has, the query's own, and k others
     best = np.full((len(queries), keep), -np.inf)
     found = np.full((len(queries), keep), -1)
     least_id = tree["ids"][np.searchsorted(tree["owner"], np.arange(len(vectors)))]

@@ -48,6 +48,16 @@ def test_small_trees_are_exact_at_factor_one():
     assert (candidate.reshape(300, 4) == np.argsort(-scores, axis=1)[:, :4]).all()
 
 
+def test_different_vectors_of_the_own_id_take_no_places():
+    rng = np.random.default_rng(7)
+    ids = np.concatenate([np.zeros(9, np.int64), np.arange(1, 61)])
+    vectors = np.concatenate([9 + rng.random((9, 4)), rng.random((60, 4))])
+    tree = ann.build_tree(ids, vectors, 5, leaf_rows=8)
+    query, candidate, _ = ann.search_tree(tree, ids[:1], vectors[:1], 5, 1.0)
+    assert query.tolist() == [0] * 5
+    assert candidate.tolist() == (1 + np.argsort(-(vectors[9:] @ vectors[0]))[:5]).tolist()
+
+
 def test_repeated_and_empty(spark):
     rows = [(0, [1.0, 0.0])] * 3 + [(1, [1.0, 0.0])] * 2
     assert got(run(spark, rows, 4, 1.0)) == sorted([(0, 1, 1, 1.0), (0, 2, 1, 1.0)])
