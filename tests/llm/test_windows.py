@@ -28,7 +28,7 @@ def odd_texts(count):
     rng = random.Random(1)
     parts = [" ", "\n", "\t", "\r\n", "\x1c", "\x85", "　", "\xa0", "a", "B", "\xe9", "é", "Σ", "ΑΣ", "İ",
              "ﬁ", "日本", "<|endoftext|>", "<|startoftext|>", "'s", "'", "١", "!!", "\x00", "\U0001f600", "foo",
-             "  ", "́", "</w>", "​", "Ġ", "1a2"]
+             "  ", "́", "</w>", "​", "Ġ", "1a2", "\xdf", "\xc9T\xc9", "\xb5", "\xd7", "\xff", "STRASSE"]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(count)]
 
 
@@ -39,10 +39,10 @@ def test_ids_equal_the_library(spark, path, library):
 
 
 def test_a_small_cache_gives_the_same():
-    cache = word_cache.WordCache(lambda words: [[len(w)] for w in words], bound=100)
+    cache = word_cache.WordCache(lambda word: [len(word)], bound=100)
     for text in ("a bb ccc", "bb bb a", "dddd a"):
         assert cache.ids(text.split(" ")).tolist() == [len(w) for w in text.split(" ")]
-    assert len(cache.held) < 4
+    assert len(cache) < 4
 
 
 def check_places(rows, window):
