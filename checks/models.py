@@ -212,11 +212,30 @@ def _(spark, folder):
     return km.k_sweep(scaled, INDICES, "unit", restarts=20)
 
 
-@check("ml9_silhouette_fast")
+@check("ml4_centroids_are_means", "SELECT 4::BIGINT AS n_clusters, 0::BIGINT AS n_off")
+def _(spark, folder):
+    units = modeling_view(spark, folder)
+    model, centers = pk.fit_clusters(units, 4, COLS)
+    means = model.transform(units).groupBy("cluster_id").agg(*[F.avg(c).alias(f"m_{c}") for c in INDICES])
+    off = [F.abs(F.col(c) - F.col(f"m_{c}")) > 1e-9 for c in INDICES]
+    return centers.join(means, "cluster_id", "left").agg(
+        F.count("*").alias("n_clusters"), F.count_if(F.coalesce(off[0] | off[1] | off[2], F.lit(True))).alias("n_off"))
+
+
+_S = ", ".join(f"(x.{c} - (SELECT avg({c}) FROM u)) / (SELECT stddev_pop({c}) FROM u) AS {c}" for c in INDICES)
+_GAPS = " + ".join(f"p.{c} * p.{c} * g.n - 2 * p.{c} * g.s_{c} + g.q_{c}" for c in INDICES)
+
+
+@check("ml9_silhouette_fast", f"""WITH {U}, z AS (SELECT x.unit, {GIVEN} AS c, {_S} FROM u x), g AS (SELECT c, count(*) AS n,
+  {', '.join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}" for c in INDICES)} FROM z GROUP BY c),
+  d AS (SELECT p.unit, p.c, g.n, g.c = p.c AS own, {_GAPS} AS total FROM z p, g),
+  m AS (SELECT unit, max(CASE WHEN own THEN n END) AS n, max(CASE WHEN own THEN total / greatest(n - 1, 1) END) AS a,
+  min(CASE WHEN NOT own THEN total / n END) AS b FROM d GROUP BY unit)
+  SELECT {rs('avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END)')} AS silhouette_squared FROM m""")
 def _(spark, folder):
     given = units_view(spark, folder).withColumn("cluster_id", F.expr(GIVEN))
     value = km.silhouette_fast(km.standardize(given, INDICES), INDICES, "cluster_id")
-    return spark.createDataFrame([(value,)], "silhouette_squared double")
+    return r(spark.createDataFrame([(value,)], "silhouette_squared double"), "silhouette_squared")
 
 
 def _classified(spark, folder):

@@ -1,31 +1,23 @@
-"""Scaling, K-Means with restarts, K sweep and silhouettes."""
+"""Scaling, placing rows by fitted centres, K sweep and silhouettes."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regiometra.domain import CLUSTER_PREFIX
 from regiometra.operators.filters import sample_n
+from regiometra.operators.kmeans import Centers, fit_all, point_blocks
 from regiometra.operators.scalars import with_scalars
 from regiometra.session import stage
 
-_PARTITIONS = 8
-_POINTS_PER_PARTITION = 20_000
 _POINTS_PER_BLOCK = 2_048
-_TOLERANCE = 1e-4
 
 
 def _scaled(value: Column, mean: Column, std: Column) -> Column:
@@ -83,86 +75,22 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
     return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)
 
 
-@contextmanager
-def cached_points(points: DataFrame) -> Iterator[DataFrame]:
-    """``points`` staged and cached for the fits, in as many partitions as they are worth.
-
-    Every iteration is a job that ships the lineage of its input, so the lineage is cut first. The layout is a
-    hash of the points and sorted, so starts drawn per partition are the same on every machine.
-    """
-    staged = stage(points.select("features", "weight"), "points")
-    parts = max(_PARTITIONS, -(-staged.count() // _POINTS_PER_PARTITION))
-    values = vector_to_array("features")
-    cached = (staged.repartition(parts, F.xxhash64(values)).sortWithinPartitions(values, "weight")
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        yield cached
-    finally:
-        cached.unpersist()
-
-
-def _fit_one(points: DataFrame, k: int, seed: int, max_iter: int) -> tuple[float, KMeansModel]:
-    # The published tolerance bounds the summed squared shift of all centres, in units of the
-    # feature variance (1 here); Spark's bounds the shift of every single centre.
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=math.sqrt(_TOLERANCE / k),
-                   initMode="k-means||", featuresCol="features", weightCol="weight",
-                   predictionCol="cluster").fit(points)
-    return model.summary.trainingCost, model
-
-
-def kmeans_fit(points: DataFrame, k: int, restarts: int = 20, max_iter: int = 500, seed: int = 42,
-               parallelism: int = 8) -> KMeansModel:
-    """Best of ``restarts`` fits by cost. ``points`` has standardised ``features`` and ``weight``;
-    see ``cached_points``.
-
-    Fits are independent jobs and run side by side; each is distributed in itself.
-    """
-    return kmeans_fits(points, [k], restarts, max_iter, seed, parallelism)[k][1]
-
-
-def kmeans_fits(points: DataFrame, ks: Sequence[int], restarts: int, max_iter: int, seed: int,
-                parallelism: int = 8) -> dict[int, tuple[float, KMeansModel]]:
-    """Best (cost, model) for every k; ties go to the smaller seed."""
-    jobs = [(k, seed + i) for k in ks for i in range(restarts)]
-    run = inheritable_thread_target(points.sparkSession)(
-        lambda job: (job, *_fit_one(points, job[0], job[1], max_iter)))
-    best: dict[int, tuple[float, int, KMeansModel]] = {}
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        for (k, start), cost, model in pool.imap_unordered(run, jobs):
-            if k not in best or (cost, start) < best[k][:2]:
-                best[k] = (cost, start, model)
-    return {k: (cost, model) for k, (cost, _, model) in best.items()}
-
-
-def cluster_order(model: KMeansModel) -> list[int]:
-    """New 1-based number of each raw cluster: ascending by centroid, so that ids repeat."""
-    centers = [tuple(c) for c in model.clusterCenters()]
-    ranked = sorted(range(len(centers)), key=lambda i: centers[i])
-    return [ranked.index(i) + 1 for i in range(len(centers))]
-
-
-def cluster_model(scaler: Scaler, model: KMeansModel, cluster: str, label: str) -> PipelineModel:
-    """Scaler, assembler, K-Means and numbering as one storable pipeline."""
-    d = len(scaler.columns)
-    inputs = [f"_z{i}" for i in range(d)]
-    numbers = ", ".join(str(n) for n in cluster_order(model))
-    number = f"element_at(array({numbers}), _raw + 1)"
-    hidden = ", ".join([*inputs, "_features", "_raw"])
-    model = model.copy()
-    model.setFeaturesCol("_features").setPredictionCol("_raw")
+def cluster_model(scaler: Scaler, model: Centers, cluster: str, label: str) -> PipelineModel:
+    """Scaler, nearest centre and label as one storable pipeline; a row with a null feature gets no cluster."""
+    inputs = [f"_z{i}" for i in range(len(scaler.columns))]
+    hidden = ", ".join([*inputs, "_ds"])
+    number = "CAST(array_position(_ds, array_min(_ds)) AS INT)"
     return PipelineModel([
         scaler.stage(),
-        VectorAssembler(inputCols=inputs, outputCol="_features"),
-        model,
+        SQLTransformer(statement=f"SELECT *, {model.distances(inputs)} AS _ds FROM __THIS__"),
         SQLTransformer(statement=f"SELECT * EXCEPT ({hidden}), {number} AS `{cluster}`, concat("
                                  f"'{CLUSTER_PREFIX}', {number}) AS `{label}` FROM __THIS__"),
     ])
 
 
-def centroids(scaler: Scaler, model: KMeansModel, df: DataFrame, cluster: str) -> DataFrame:
+def centroids(scaler: Scaler, model: Centers, df: DataFrame, cluster: str) -> DataFrame:
     """(cluster, one column per feature) in original units, k rows."""
-    numbers = cluster_order(model)
-    rows = sorted((n, *map(float, c)) for n, c in zip(numbers, model.clusterCenters()))
+    rows = [(n + 1, *point) for n, point in enumerate(model.points)]
     schema = f"`{cluster}` int, " + ", ".join(f"`{c}` double" for c in scaler.columns)
     return scaler.inverse(df.sparkSession.createDataFrame(rows, schema), scaler.columns)
 
@@ -252,22 +180,16 @@ def silhouette_fast(df: DataFrame, columns: Sequence[str], cluster: str) -> floa
 
 
 def k_sweep(scaled: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int] = range(2, 9),
-            sample: int = 15_000, restarts: int = 20, max_iter: int = 500, seed: int = 42,
-            parallelism: int = 8) -> DataFrame:
-    """(k, wcss, silhouette) for each k, all fitted and scored on one sample."""
+            sample: int = 15_000, restarts: int = 20, max_iter: int = 500, seed: int = 42) -> DataFrame:
+    """(k, wcss, silhouette) for each k, all fitted together and scored on one sample."""
     taken = sample_n(scaled.select(key, *columns), sample, key, seed)
-    points = distinct_points(taken, columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with cached_points(assemble(points, columns)) as vectors:
-            fits = kmeans_fits(vectors, ks, restarts, max_iter, seed, parallelism)
-        labelled = assemble(points, columns)
-        for k, (_, model) in fits.items():
-            labelled = model.setPredictionCol(f"k{k}").transform(labelled)
-        scores = {r["labelling"]: r["silhouette"] for r in silhouette_exact(
-            labelled, columns, [f"k{k}" for k in ks], weight="weight").collect()}
-    finally:
-        points.unpersist()
-    rows = [(k, fits[k][0], scores[f"k{k}"]) for k in ks]
+    points = stage(distinct_points(taken, columns), "sweep-points")
+    with point_blocks(points, columns) as blocks:
+        fits = fit_all(blocks, ks, restarts, max_iter, seed)
+    labelled = points.withColumns({f"k{k}": model.assign(columns) for k, model in fits.items()})
+    scores = {r["labelling"]: r["silhouette"] for r in silhouette_exact(
+        labelled, columns, [f"k{k}" for k in ks], weight="weight").collect()}
+    rows = [(k, fits[k].cost, scores[f"k{k}"]) for k in ks]
     return scaled.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 
 

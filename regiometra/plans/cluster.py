@@ -13,6 +13,7 @@ from regiometra.domain import STATUS_ORDER, Columns
 from regiometra.operators import aggregates as agg
 from regiometra.operators import clustering as km
 from regiometra.operators.filters import sample_n
+from regiometra.operators.kmeans import fit_all, point_blocks
 
 
 @dataclass(frozen=True)
@@ -25,16 +26,12 @@ class Segmentation:
 
 
 def fit_clusters(modeling: DataFrame, k: int, cols: Columns = Columns(), restarts: int = 20,
-                 max_iter: int = 500, seed: int = 42, parallelism: int = 8
-                 ) -> tuple[PipelineModel, DataFrame]:
+                 max_iter: int = 500, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
     """Pipeline and centroids (original units) of the best of ``restarts`` fits on all rows."""
     scaler = km.Scaler.fit(modeling, cols.indices)
-    d = len(cols.indices)
-    inputs = [f"_z{i}" for i in range(d)]
-    distinct = km.distinct_points(modeling, cols.indices)
-    points = km.assemble(scaler.stage().transform(distinct), inputs)
-    with km.cached_points(points) as vectors:
-        best = km.kmeans_fit(vectors, k, restarts, max_iter, seed, parallelism)
+    points = scaler.stage().transform(km.distinct_points(modeling, cols.indices))
+    with point_blocks(points, [f"_z{i}" for i in range(len(cols.indices))]) as blocks:
+        best = fit_all(blocks, [k], restarts, max_iter, seed)[k]
     model = km.cluster_model(scaler, best, cols.cluster, cols.cluster_label)
     return model, km.centroids(scaler, best, modeling, cols.cluster)
 
@@ -61,12 +58,12 @@ def final_silhouette(clustered: DataFrame, cols: Columns = Columns(), sample: in
 
 def segment(modeling: DataFrame, cols: Columns = Columns(), ks: Sequence[int] = range(2, 9),
             restarts: int = 20, max_iter: int = 500, sample: int = 15_000,
-            silhouette_sample: int = 10_000, seed: int = 42, parallelism: int = 8) -> Segmentation:
+            silhouette_sample: int = 10_000, seed: int = 42) -> Segmentation:
     """The whole flow; the sweep, the fit and the silhouette run at once, the tables are lazy."""
     scaled = km.standardize(modeling.select(cols.unit, *cols.indices), cols.indices)
-    sweep = km.k_sweep(scaled, cols.indices, cols.unit, ks, sample, restarts, max_iter, seed, parallelism)
+    sweep = km.k_sweep(scaled, cols.indices, cols.unit, ks, sample, restarts, max_iter, seed)
     k = km.choose_k(sweep)
-    model, centers = fit_clusters(modeling, k, cols, restarts, max_iter, seed, parallelism)
+    model, centers = fit_clusters(modeling, k, cols, restarts, max_iter, seed)
     clustered = model.transform(modeling)
     means = [*cols.measures, cols.child_count, cols.child_total]
     tables = {

@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from checks.bindings import COLS, modeling_view
 from regiometra.domain import STATUS_ORDER
 from regiometra.operators import clustering as km
 from regiometra.operators import evaluation as ev
+from regiometra.operators import kmeans
 from regiometra.operators.splitting import stratified_split
 from regiometra.plans.classify import classify, model_inputs
 from regiometra.plans.cluster import segment
@@ -69,12 +71,39 @@ def test_silhouette_takes_more_points_than_a_task_should(spark):
 
 
 def test_fits_do_not_depend_on_the_layout(spark):
-    points = km.assemble(km.distinct_points(blobs(spark), ["x", "y"]), ["x", "y"])
-    centers = []
+    points = km.distinct_points(blobs(spark), ["x", "y"])
+    found = []
     for parts in (1, 5):
-        with km.cached_points(points.repartition(parts)) as vectors:
-            centers.append(sorted(map(tuple, km.kmeans_fit(vectors, 3, restarts=2).clusterCenters())))
-    assert centers[0] == centers[1]
+        with kmeans.point_blocks(points.repartition(parts), ["x", "y"]) as blocks:
+            found.append(kmeans.fit_all(blocks, [2, 3], restarts=2))
+    assert found[0] == found[1]
+
+
+def test_fits_cost_no_more_than_parallel_seeding(spark):
+    rng = np.random.default_rng(8)
+    rows = [(*p, float(w)) for p, w in zip((rng.normal(size=(900, 3)) + rng.integers(-2, 3, (900, 3))).tolist(), rng.integers(1, 5, 900))]
+    points = spark.createDataFrame(rows, "a double, b double, c double, weight double").cache()
+    with kmeans.point_blocks(points, ["a", "b", "c"]) as blocks:
+        found = kmeans.fit_all(blocks, [2, 5, 7], restarts=20)
+    vectors = km.assemble(points, ["a", "b", "c"]).cache()
+    for k, model in found.items():
+        other = min(KMeans(k=k, seed=42 + i, maxIter=500, tol=1e-6, weightCol="weight").fit(vectors).summary.trainingCost for i in range(5))
+        assert model.cost <= other * (1 + 1e-3)
+        x, w = np.array([r[:3] for r in rows]), np.array([r[3] for r in rows])
+        gaps = np.square(x[:, None] - np.array(model.points)).sum(axis=2)
+        nearest = gaps.argmin(axis=1)
+        assert model.cost == pytest.approx((w * gaps.min(axis=1)).sum())
+        for i, center in enumerate(model.points):
+            assert np.average(x[nearest == i], axis=0, weights=w[nearest == i]) == pytest.approx(np.array(center), abs=1e-12)
+
+
+def test_fewer_points_than_centres_and_none(spark):
+    few = spark.createDataFrame([(0.0, 2.0), (1.0, 1.0), (None, 1.0), (float("nan"), 1.0)], "x double, weight double")
+    with kmeans.point_blocks(few, ["x"]) as blocks:
+        model = kmeans.fit_all(blocks, [3], restarts=2)[3]
+    assert model.cost == 0 and {p[0] for p in model.points} == {0.0, 1.0}
+    with kmeans.point_blocks(few.limit(0), ["x"]) as blocks:
+        assert kmeans.fit_all(blocks, [2])[2].points == ((0.0,), (0.0,))
 
 
 def test_scaler_of_no_rows(spark):
