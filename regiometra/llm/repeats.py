@@ -232,6 +232,13 @@ def _ranges(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return np.stack([names[place], starts - (place << 33), ends - (place << 33)], axis=1)
 
 
+def by_owner(owner: np.ndarray, chosen: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(owner, its chosen indices, in order) of every owner of any, in one sort whatever the number of owners."""
+    order = chosen[np.argsort(owner[chosen], kind="stable")]
+    names, first = np.unique(owner[order], return_index=True)
+    return list(zip(names.tolist(), np.split(order, first[1:]))) if len(order) else []
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
@@ -291,9 +298,8 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
         owner = np.repeat(frame["db"].to_numpy(), sizes)
         _, inverse, places = np.unique(anchors, return_inverse=True, return_counts=True)
         total = np.bincount(inverse, counts)[inverse]
-        shared = (places[inverse] > 1) | (total > 1)
-        rows = [(int(db), _pack(anchors[chosen]), _pack(total[chosen] > hot))
-                for db in np.unique(owner) if (chosen := shared & (owner == db)).any()]
+        shared = np.flatnonzero((places[inverse] > 1) | (total > 1))
+        rows = [(db, _pack(anchors[chosen]), _pack(total[chosen] > hot)) for db, chosen in by_owner(owner, shared)]
         return pd.DataFrame(rows, columns=["db", "anchors", "hot"])
 
     def send_contexts(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
@@ -396,7 +402,7 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
         where, start, end = (np.concatenate(x) for x in zip(*hits))
         found = _ranges(where, start, end)
         home = found[:, 0] >> 32
-        rows = [(int(d), _pack(found[home == d, 0] & 0xFFFFFFFF), _pack(found[home == d, 1:])) for d in np.unique(home)]
+        rows = [(d, _pack(found[chosen, 0] & 0xFFFFFFFF), _pack(found[chosen, 1:])) for d, chosen in by_owner(home, np.arange(len(home)))]
         return pd.DataFrame(rows, columns=columns)
 
     def cut(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -158,3 +159,18 @@ def test_reach_keeps_every_shared_window():
                 a, b = c[:offsets[i]][::-1], d[:offsets[j]][::-1]
                 best[0] = max(best[0], next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
         assert (low[i], high[i]) == (offsets[i] - best[0], offsets[i] + best[1])
+
+
+def test_owners_cost_the_same_whatever_their_number():
+    rng = np.random.default_rng(1)
+    seconds = {}
+    for owners in (64, 4096):
+        owner, chosen = rng.integers(0, owners, 1 << 20), np.flatnonzero(rng.random(1 << 20) < 0.3)
+        start = time.process_time()
+        found = repeats.by_owner(owner, chosen)
+        seconds[owners] = time.process_time() - start
+        assert [d for d, _ in found] == sorted({int(d) for d in owner[chosen]})
+        assert all((owner[c] == d).all() and (np.diff(c) > 0).all() for d, c in found)
+        assert sum(len(c) for _, c in found) == len(chosen)
+    assert seconds[4096] < 3 * seconds[64] + 0.1
+    assert repeats.by_owner(np.zeros(0, int), np.zeros(0, int)) == []
