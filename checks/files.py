@@ -121,7 +121,7 @@ _SHEET_TARGET = "CASE WHEN l_linenumber % 6 <> 0 THEN concat('T', l_linestatus)
 _ORDER = "l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_extendedprice"
 
 
-def write_sheets(spark, folder, bad: bool = False, txt: str = _SHEET_TEXT) -> str:
+def write_sheets(spark, folder, bad: bool = False, txt: str = _SHEET_TEXT, compression: str = "none") -> str:
     """With ``bad``, every eighth sheet lacks the header line below its titles. ``txt`` is the free text, quotes doubled."""
     path = new_folder(spark, "sheets")
     lines = table(spark, folder, "lineitem").selectExpr(
@@ -143,10 +143,26 @@ def write_sheets(spark, folder, bad: bool = False, txt: str = _SHEET_TEXT) -> st
         tops = tops.filter("sheet % 8 <> 3 OR b < 3")
         body = body.filter("sheet % 8 <> 3")
     (tops.unionByName(body).repartition("sheet").sortWithinPartitions("sheet", "a", "b")
-     .select("sheet", "value").write.partitionBy("sheet").text(path))
+     .select("sheet", "value").write.partitionBy("sheet").text(path, compression=compression))
     return path
 
 
+def _cut_short(spark, path: str, sheets: range) -> None:
+    """Leaves the first half of the files of some sheets, on whichever file system they are."""
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark._jsc.hadoopConfiguration()
+    for sheet in sheets:
+        for found in hadoop.fs.Path(path).getFileSystem(conf).globStatus(hadoop.fs.Path(f"{path}/sheet={sheet}/*.gz")):
+            whole = found.getPath()
+            half = hadoop.fs.Path(whole.getParent(), f"half-{whole.getName()}")
+            files = whole.getFileSystem(conf)
+            source, target = files.open(whole), files.create(half)
+            spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, target, 0, found.getLen() // 2)
+            source.close()
+            target.close()
+            files.delete(whole, False)
+
+
 _ROWS = f"""x AS (SELECT l_orderkey AS k, l_orderkey % {_SHEETS} AS sheet, row_number() OVER
   (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS pos, {_SHEET_TEXT} AS txt, {_SHEET_TARGET} AS target,
   l_quantity AS amount FROM lineitem),
@@ -182,6 +198,63 @@ def _(spark, folder):
     return folder_.rejects.groupBy("error").agg(F.count("*").alias("n"))
 
 
+_TRUNCATED = range(10)
+
+
+def _truncated(spark, folder):
+    path = write_sheets(spark, folder, compression="gzip")
+    _cut_short(spark, path, _TRUNCATED)
+    return sh.SheetFolder(spark, path, 3, ["KODE DESA"])
+
+
+@check("src5_truncated_files", f"""WITH {_ROWS} SELECT row_no, CASE WHEN pos = 1 THEN k::VARCHAR END AS "KODE DESA",
+  txt AS "KETERANGAN", amount::INT::VARCHAR AS "NILAI" FROM y WHERE sheet >= {len(_TRUNCATED)}""")
+def _(spark, folder):
+    return _truncated(spark, folder).rows().select("row_no", "KODE DESA", "KETERANGAN", "NILAI")
+
+
+@check("src5_truncated_rejects", f"""SELECT 'empty or unreadable' AS error, count(DISTINCT l_orderkey % {_SHEETS}) AS n
+  FROM lineitem WHERE l_orderkey % {_SHEETS} < {len(_TRUNCATED)}""")
+def _(spark, folder):
+    return _truncated(spark, folder).rejects.groupBy("error").agg(F.count("*").alias("n"))
+
+
+def _unclosed(spark, folder):
+    """One sheet a nation; in every fifth the last cell opens a quote and never closes it."""
+    path = new_folder(spark, "open-sheets")
+    body = table(spark, folder, "customer").select("c_nationkey", F.lit(1).alias("a"), F.col("c_custkey").alias("b"),
+                                                   F.format_string('%d,"%s, x"', "c_custkey", "c_mktsegment").alias("value"))
+    sheets = body.select("c_nationkey").distinct()
+    heads = sheets.select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("KODE,SEGMENT").alias("value"))
+    tails = sheets.where("c_nationkey % 5 = 1").select("*", F.lit(2).alias("a"), F.lit(0).alias("b"), F.lit('9,"open').alias("value"))
+    (heads.unionByName(body).unionByName(tails).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "a", "b")
+     .select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path))
+    return sh.SheetFolder(spark, path, 0, ["KODE"])
+
+
+@check("src4_unclosed_quote", """SELECT 'quoted cell without an end' AS error, count(DISTINCT c_nationkey) AS n
+  FROM customer WHERE c_nationkey % 5 = 1""")
+def _(spark, folder):
+    return _unclosed(spark, folder).rejects.groupBy("error").agg(F.count("*").alias("n"))
+
+
+@check("src4_beside_unclosed_quotes", """SELECT c_custkey::VARCHAR AS "KODE", c_mktsegment || ', x' AS "SEGMENT"
+  FROM customer WHERE c_nationkey % 5 <> 1""")
+def _(spark, folder):
+    return _unclosed(spark, folder).rows().select("KODE", "SEGMENT")
+
+
+@check("src1_one_large_file", """SELECT l_orderkey::VARCHAR AS "ORDER", l_linenumber::VARCHAR AS "LINE",
+  concat('a ', chr(10), '"', l_returnflag, '",', l_linestatus, chr(13), chr(10), ' ') AS "TEXT" FROM lineitem""")
+def _(spark, folder):
+    path = new_folder(spark, "large")
+    lines = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey AS `ORDER`", "l_linenumber AS LINE",
+        "concat('a ', chr(10), '\"', l_returnflag, '\",', l_linestatus, chr(13), chr(10), ' ') AS TEXT")
+    st.write_csv(lines, path, files=1)
+    return st.read_raw_csv(spark, path)
+
+
 @check("cln10_fill_identity", f"""WITH {_ROWS} SELECT row_no, k::VARCHAR AS "KODE DESA",
   'P' || (k % 7) AS "KODE PROV", txt AS "KETERANGAN" FROM y""")
 def _(spark, folder):

@@ -6,8 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,10 +70,6 @@ def distinct_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("*").cast("double").alias("weight"))
 
 
-def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)
-
-
 def cluster_model(scaler: Scaler, model: Centers, cluster: str, label: str) -> PipelineModel:
     """Scaler, nearest centre and label as one storable pipeline; a row with a null feature gets no cluster."""
     inputs = [f"_z{i}" for i in range(len(scaler.columns))]
@@ -168,15 +163,34 @@ def silhouette_exact(sample: DataFrame, columns: Sequence[str], labels: Sequence
             .select(name.alias("labelling"), "silhouette"))
 
 
-def silhouette_fast(df: DataFrame, columns: Sequence[str], cluster: str) -> float:
-    """Linear-time silhouette of the whole table with squared Euclidean distance.
+def silhouette_fast(df: DataFrame, columns: Sequence[str], cluster: str) -> float | None:
+    """Linear-time silhouette of the whole table with squared Euclidean distance; null below two clusters.
 
-    Another measure than ``silhouette_exact``; the two must not be compared.
+    Squared distances to all points of a cluster follow from its count, sums and sums of squares, one row per
+    cluster. Rows without a cluster or a value take no part. Another measure than ``silhouette_exact``; the two must
+    not be compared.
     """
-    points = (df.groupBy(*[F.col(f"`{c}`") for c in columns], F.col(f"`{cluster}`"))
-              .agg(F.count("*").cast("double").alias("weight")))
-    return ClusteringEvaluator(featuresCol="features", predictionCol=cluster, weightCol="weight",
-                               metricName="silhouette").evaluate(assemble(points, columns))
+    names = [f"_x{i}" for i in range(len(columns))]
+    points = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)], F.col(f"`{cluster}`").alias("_c"))
+    points = points.dropna().groupBy(*names, "_c").agg(F.count("*").alias("_w"))
+    sizes = points.groupBy("_c").agg(
+        F.sum("_w").alias("n"), *[F.sum(F.col("_w") * F.col(n)).alias(f"s{n}") for n in names],
+        F.sum(F.col("_w") * sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))).alias("q"))
+    clusters = sizes.agg(F.collect_list(F.struct(*sizes.columns)).alias("_all"))
+    square = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
+
+    def total(c: Column) -> Column:
+        return F.greatest(c["n"] * square + c["q"] - 2 * sum((F.col(n) * c[f"s{n}"] for n in names), F.lit(0.0)), F.lit(0.0))
+
+    placed = with_scalars(points, clusters)
+    own = F.filter("_all", lambda c: c["_c"] == F.col("_c"))[0]
+    others = F.filter("_all", lambda c: c["_c"] != F.col("_c"))
+    a = total(own) / F.greatest(own["n"] - 1, F.lit(1))
+    b = F.array_min(F.transform(others, lambda c: total(c) / c["n"]))
+    top = F.greatest(a, b)
+    score = F.when((own["n"] > 1) & (top > 0), (b - a) / top).otherwise(0.0)
+    found = placed.select("_w", F.size("_all").alias("k"), score.alias("score"))
+    return found.agg(F.when(F.max("k") > 1, F.sum(F.col("_w") * F.col("score")) / F.sum("_w")).alias("value")).first()["value"]
 
 
 def k_sweep(scaled: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int] = range(2, 9),

@@ -1,10 +1,4 @@
-"""A folder of delimited sheets whose header stands below some title rows.
-
-Files are read as splittable lines, so one huge sheet is spread over many tasks. The position
-of a line within its file comes from the split it is in and its place in that split. Lines that
-break inside a quoted cell are joined again; whether a quote is open at a line is carried over
-the lines of a split, and from split to split through one row per split.
-"""
+"""A folder of delimited sheets whose header stands below some title rows; lines come from ``lines``."""
 
 from __future__ import annotations
 
@@ -18,133 +12,10 @@ from pyspark.sql.window import Window
 from regiometra.functions import trim_all
 from regiometra.operators.cleaning import forward_fill
 from regiometra.session import stage
+from regiometra.sources.lines import plain_path, read_lines
 from regiometra.sources.tables import BOM
 
 _FILES_TO_BROADCAST = 20_000
-_SPLITS_TO_BROADCAST = 200_000
-
-
-def _plain(path: str) -> str:
-    return re.sub("^file:/+", "file:/", path)
-
-
-def _staged_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Tagged lines of all files that can be read to their end, and the paths of the others.
-
-    Reading is strict. A file that fails is left out as a whole and the rest is read again.
-    """
-    broken: list[str] = []
-    while True:
-        reader = spark.read.option("ignoreCorruptFiles", False).option("recursiveFileLookup", True)
-        read = reader.text(path)
-        if broken:  # rare, so only then are the files named one by one
-            left = [f for f in read.inputFiles() if _plain(f) not in broken]
-            read = reader.text(left) if left else read.filter(F.lit(False))
-        text = read.select(F.col("_metadata.file_path").alias("file_path"),
-                           F.col("_metadata.file_block_start").alias("_split"),
-                           F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
-        try:
-            return stage(text, "sheet-lines"), broken
-        except Exception as error:
-            named = re.search(r"FAILED_READ_FILE.*? reading file (\S+?)\.?\s", str(error), re.DOTALL)
-            if not named:
-                raise
-            failed = _plain(named.group(1))
-            if failed in broken:
-                raise
-            broken.append(failed)
-
-
-def _opens(line: Column, separator: str) -> Column:
-    """Whether a quoted cell is still open at the end of a line that starts outside of one."""
-    sep = re.escape(separator)
-    whole = rf"\G{sep}(?:\"[^\"]*+(?:\"\"[^\"]*+)*+\"[^{sep}]*+|(?!\")[^{sep}]*+)"
-    return F.regexp_replace(F.concat(F.lit(separator), line), F.lit(whole), F.lit("")) != ""
-
-
-def _with_start(df: DataFrame, within: list[str], order: str) -> DataFrame:
-    """Adds ``_from_out`` and ``_from_in``: the state before each row if the first one starts outside or inside a quote.
-
-    ``_out`` and ``_in`` are the states after a row by the one before it. A row that gives both the same settles the
-    state; from there on only rows that turn it round count.
-    """
-    earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    turns = F.coalesce(F.sum((F.col("_out") & ~F.col("_in")).cast("int")).over(earlier), F.lit(0))
-    settled = F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").alias("state"), F.col("_turns").alias("turns")))
-    df = df.withColumn("_turns", turns).withColumn("_settled", F.last(settled, ignorenulls=True).over(earlier))
-
-    def state(start: bool) -> Column:
-        since = F.col("_turns") - F.coalesce(F.col("_settled.turns"), F.lit(0))
-        return F.coalesce(F.col("_settled.state"), F.lit(start)) != (since % 2 == 1)
-
-    return df.withColumns({"_from_out": state(False), "_from_in": state(True)}).drop("_turns", "_settled")
-
-
-def _joined(lines: DataFrame, separator: str) -> DataFrame:
-    """Records of sheets with line breaks in cells, from their lines with split and place."""
-    split = ["file_path", "_split"]
-    quoted = F.col("line").contains('"')
-    tagged = lines.withColumns({"_out": quoted & _opens(F.col("line"), separator),
-                                "_in": ~quoted | _opens(F.concat(F.lit('"'), F.col("line")), separator)})
-    upto = Window.partitionBy(*split).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = _with_start(tagged, split, "_at")
-    tagged = stage(tagged.withColumns({f"_n{c}": F.sum((~F.col(c)).cast("int")).over(upto) for c in ("_from_out", "_from_in")}),
-                   "sheet-quotes")
-    after = {c: F.when(F.col(c), F.col("_in")).otherwise(F.col("_out")) for c in ("_from_out", "_from_in")}
-    splits = tagged.groupBy(*split).agg(
-        F.max_by(after["_from_out"], "_at").alias("_out"), F.max_by(after["_from_in"], "_at").alias("_in"),
-        F.max("_n_from_out").alias("_records_out"), F.max("_n_from_in").alias("_records_in"))
-    splits = _with_start(splits, ["file_path"], "_split")
-    earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    records = F.when(F.col("_from_out"), F.col("_records_in")).otherwise(F.col("_records_out"))
-    splits = (splits.withColumn("_records", records)
-              .select(*split, F.col("_from_out").alias("_inside"), F.coalesce(F.sum("_records").over(earlier), F.lit(0)).alias("_sooner")))
-    started = F.when(F.col("_inside"), F.col("_n_from_in")).otherwise(F.col("_n_from_out"))
-    inside = F.when(F.col("_inside"), F.col("_from_in")).otherwise(F.col("_from_out"))
-    placed = (tagged.join(splits, split)
-              .withColumns({"row_no": F.col("_sooner") + started - 1, "_before": inside})
-              .withColumn("_after", F.when(F.col("_before"), F.col("_in")).otherwise(F.col("_out"))))
-    parts = F.sort_array(F.collect_list(F.struct("_split", "_at", "line")))
-    broken = placed.filter(F.col("_before") | F.col("_after")).groupBy("file_path", "row_no").agg(
-        F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("line"),
-        F.max_by("_after", F.struct("_split", "_at")).alias("unclosed"))
-    whole = placed.filter(~F.col("_before") & ~F.col("_after")).select("file_path", "row_no", "line", F.lit(False).alias("unclosed"))
-    return whole.unionByName(broken)
-
-
-def read_lines(spark: SparkSession, path: str, separator: str = ",") -> tuple[DataFrame, list[str]]:
-    """(file_path, row_no, line, unclosed): every line of every readable file with its 0-based position; and unreadable files.
-
-    Lines that break inside a quoted cell are one, with a line feed at each break and one position;
-    ``unclosed`` marks the one whose quote the file never closes.
-    Positions are dense within a file: lines before the split (a running sum over one row
-    per split) plus the place within the split. The tagged lines are staged, because how
-    files are cut into splits may change from one job to the next, and as columns the tags
-    can be read without the text. Only files in which a line leaves a quote open are looked at
-    once more, split by split.
-    """
-    lines, broken = _staged_lines(spark, path)
-    opens = F.col("line").contains('"') & _opens(F.col("line"), separator)
-    splits = lines.groupBy("file_path", "_split").agg(F.min("_at").alias("_first"),
-                                                       F.count("*").alias("_lines"),
-                                                       F.bool_or(opens).alias("_opens"))
-    file = Window.partitionBy("file_path")
-    earlier = file.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stage(splits.select(
-        "file_path", "_split", "_first", F.bool_or("_opens").over(file).alias("_wraps"),
-        F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")), "sheet-splits")
-    # One row per split. Beyond the bound the join shuffles, evenly, as splits are of one size.
-    count, wraps = offsets.agg(F.count("*"), F.bool_or("_wraps")).first()
-    if count <= _SPLITS_TO_BROADCAST:
-        offsets = F.broadcast(offsets)
-    placed = lines.join(offsets, ["file_path", "_split"])
-    plain = (placed.filter(~F.col("_wraps"))
-             .select("file_path", (F.col("_before") + F.col("_at") - F.col("_first")).alias("row_no"),
-                     "line", F.lit(False).alias("unclosed")))
-    if not wraps:
-        return plain, broken
-    wrapped = _joined(placed.filter("_wraps").select(*lines.columns), separator)
-    return plain.unionByName(stage(wrapped, "sheet-records")), broken
 
 
 def _cells(line: Column, separator: str) -> Column:
@@ -195,8 +66,9 @@ class SheetFolder:
                       F.bool_or("unclosed").alias("_unclosed")))
         # The reader's listing brings in files that gave no line at all.
         reader = spark.read.option("recursiveFileLookup", True).text(path)
-        names = [(_plain(name),) for name in reader.inputFiles()]
-        listed = spark.createDataFrame(names, "_listed string")
+        names = [(plain_path(name),) for name in reader.inputFiles()]
+        failed = set(unreadable)
+        listed = spark.createDataFrame([(name, name in failed) for name, in names], "_listed string, _failed boolean")
         local = F.regexp_replace("file_path", "^file:/+", "file:/")
         files = (listed.join(found, F.col("_listed") == local, "left")
                  .withColumn("file_path", F.coalesce("file_path", "_listed"))
@@ -204,8 +76,7 @@ class SheetFolder:
         named = F.array_compact("header")
         wanted = F.array(*[F.lit(c) for c in required]).cast("array<string>")
         lacking = F.array_except(wanted, named)
-        failed = F.col("_listed").isin(unreadable) if unreadable else F.lit(False)
-        error = (F.when(failed | F.col("_broken").isNull(), F.lit("empty or unreadable"))
+        error = (F.when(F.col("_failed") | F.col("_broken").isNull(), F.lit("empty or unreadable"))
                  .when(F.col("_broken"), F.lit("not valid text"))
                  .when(F.col("_unclosed"), F.lit("quoted cell without an end"))
                  .when(F.coalesce(F.size(named), F.lit(0)) <= 0, F.lit("no header row"))

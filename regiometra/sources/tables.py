@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from regiometra.functions import coerce_numeric
+from regiometra.sources.lines import read_lines
 
 BOM = "﻿"
 
@@ -21,14 +22,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+_CSV = {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"}
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """Header CSV of small files, each read by one task."""
+    return spark.read.options(header=True, **_CSV).csv(path)
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with every column as text; types are the business of the cleaning step.
 
-    Nothing is inferred, so the data are not read to plan the query and leading zeros survive. Quoted cells may
-    hold line breaks; for that a file is read by one task, so large tables should be many files.
+    Nothing is inferred and leading zeros survive. Quoted cells may hold line breaks. A file is split over many
+    tasks: its lines are staged, joined to records where a quote is left open, and only then cut into cells. The
+    first record of a file that is not blank is its header, and the columns are those of the first file. In a file that
+    never closes a quote every line is a record.
     """
-    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("lineSep", "\n").csv(path))
+    columns = _whole_files(spark, path).columns
+    lines, broken = read_lines(spark, path, recursive=False, line_sep="\n")
+    if broken:
+        raise ValueError(f"cannot be read to the end: {', '.join(broken[:5])}")
+    records = lines.where(F.rtrim(F.regexp_replace("line", "^\ufeff", "")) != "")
+    heads = records.groupBy("file_path").agg(F.min("row_no").alias("_head"))  # one row per file
+    body = records.join(heads, "file_path").where(F.col("row_no") > F.col("_head"))
+    names = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in columns)
+    return body.select(F.from_csv("line", names, _CSV).alias("_cells")).select("_cells.*")
 
 
 def read_typed_csv(spark: SparkSession, path: str, numeric: Sequence[str],
@@ -91,7 +109,7 @@ def materialize_if_absent(spark: SparkSession, path: str, required: str,
     broken write has left without its success mark counts as absent.
     """
     def stored() -> DataFrame:
-        raw = read_raw_csv(spark, path)
+        raw = _whole_files(spark, path)
         return raw.select(*[F.col(f"`{c}`").try_cast((types or {}).get(c, "string")).alias(c)
                             for c in raw.columns])
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from checks.bindings import COLS, modeling_view
@@ -85,7 +86,7 @@ def test_fits_cost_no_more_than_parallel_seeding(spark):
     points = spark.createDataFrame(rows, "a double, b double, c double, weight double").cache()
     with kmeans.point_blocks(points, ["a", "b", "c"]) as blocks:
         found = kmeans.fit_all(blocks, [2, 5, 7], restarts=20)
-    vectors = km.assemble(points, ["a", "b", "c"]).cache()
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(points).cache()
     for k, model in found.items():
         other = min(KMeans(k=k, seed=42 + i, maxIter=500, tol=1e-6, weightCol="weight").fit(vectors).summary.trainingCost for i in range(5))
         assert model.cost <= other * (1 + 1e-3)

@@ -170,3 +170,41 @@ def test_scrub_flow(spark, tmp_path):
     assert c["keterangan_gabungan"] == "Tidak ada data rekomendasi" and c["target_idm_2025"] == "TERTINGGAL"
     assert c["intensitas_rekomendasi"] == 0.0 and c["dimensi_terendah"] == "Ekonomi"
     assert "Keterangan" not in result.modeling.columns
+
+
+def test_bad_files_are_found_in_one_pass(spark, tmp_path, monkeypatch):
+    import bz2
+    import gzip
+
+    from regiometra.sources import lines
+
+    folder = tmp_path / "packed"
+    folder.mkdir()
+    text = "K,N\n" + "".join(f"{i},{i * i % 977}\n" for i in range(3000))
+    for i in range(16):
+        data = bz2.compress(text.encode()) if i % 4 == 3 else gzip.compress(text.encode())
+        data = data if i >= 6 else data[:len(data) // 2] if i != 4 else data + b"junk"
+        (folder / f"s {i}.csv.{'bz2' if i % 4 == 3 else 'gz'}").write_bytes(data)
+    (folder / "two.csv.gz").write_bytes(gzip.compress(text.encode()) + gzip.compress(b"9,9\n"))
+    (folder / "none.csv.gz").write_bytes(b"")
+    (folder / "plain.csv").write_text(text)
+    written, own = [], lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, name: written.append(name) or own(df, name))
+    sheets = sh.SheetFolder(spark, str(folder), 0, ["K"])
+    assert written.count("lines") == 1  # one probe and one read
+    assert sheets.rejects.count() == 7
+    assert sheets.rows().count() == 12 * 3000 + 1
+
+
+def test_a_large_csv_is_read_by_several_tasks(spark, tmp_path):
+    rows = [(i, f"text {i}\nnext \"line\", {i}" if i % 3 else f"plain {i}") for i in range(20_000)]
+    path = str(tmp_path / "large")
+    st.write_csv(spark.createDataFrame(rows, "k int, t string"), path, files=1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found = st.read_raw_csv(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    staged = found.inputFiles()
+    assert len(staged) > 4
+    assert sorted((int(r.k), r.t) for r in found.collect()) == rows
