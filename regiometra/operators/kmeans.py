@@ -4,10 +4,11 @@ All (k, restart) models are rows of one table of centres. A round sends the cent
 centre, the weight, the sum and the cost of its points; models that have come to rest drop out. Seeding is k-means++
 with trials: a point is drawn with a chance in proportion to its weight times its squared distance to the nearest
 centre so far, as the first of exponential arrivals of that rate, so that draws need no running totals; of several
-draws the one that lowers the cost most stays. What the driver holds is one row per centre, whatever the table's size.
+draws the one that lowers the cost most stays. What the driver holds is one row per centre (for few blocks, per block
+and centre), whatever the table's size.
 
-Points lie in blocks by a hash of their values and partial sums are added as decimals, which are exact in any order:
-a fit does not depend on the layout or the machine. Features should be standardised (sums below 1e20).
+Points lie in blocks by a hash of their values; partial sums are added in order of blocks, or as decimals, which are
+exact in any order: a fit does not depend on the layout or the machine. Features should be standardised (sums below 1e20).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,7 @@ from regiometra.session import stage
 _BLOCKS = 8
 _POINTS_PER_BLOCK = 20_000
 _POINTS_AT_ONCE = 2_048
+_DIRECT_BLOCKS = 64
 #: Bound on the summed squared shift of a model's centres, in units of the feature variance.
 TOLERANCE = 1e-4
 
@@ -56,6 +59,13 @@ class Blocks:
 
     rows: DataFrame
     dims: int
+    count: int
+
+    def totals(self, parts: DataFrame, keys: list[str], values: list[str]) -> pd.DataFrame:
+        """Sums of the blocks' parts per key. Parts of few blocks are added on the driver, in order, which saves a shuffle."""
+        if self.count > _DIRECT_BLOCKS:
+            return parts.groupBy(*keys).agg(*[_exact_sum(c) for c in values]).toPandas()
+        return parts.toArrow().to_pandas().groupby(keys, as_index=False)[values].sum()
 
     def scan(self, work: Callable[[int, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
         """``work`` (block number, points, weights) on every block."""
@@ -80,8 +90,6 @@ def point_blocks(points: DataFrame, columns: Sequence[str], weight: str = "weigh
     dealt = kept.withColumn("block", F.pmod(F.xxhash64(*[f"x{i}" for i in range(dims)]), F.lit(count)).cast("int"))
 
     def gather(group):
-        import pandas as pd
-
         group = group.sort_values([*(f"x{i}" for i in range(dims)), "w"])
         values = np.ascontiguousarray(group[[f"x{i}" for i in range(dims)]].to_numpy(float))
         return pd.DataFrame({"block": group["block"].iloc[:1], "points": [values.tobytes()], "weights": [group["w"].to_numpy(float).tobytes()]})
@@ -89,7 +97,7 @@ def point_blocks(points: DataFrame, columns: Sequence[str], weight: str = "weigh
     gathered = stage(dealt.groupBy("block").applyInPandas(gather, "block int, points binary, weights binary"), "point-blocks")
     rows = gathered.repartitionByRange(count, "block").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield Blocks(rows, dims)
+        yield Blocks(rows, dims, count)
     finally:
         rows.unpersist()
 
@@ -143,16 +151,16 @@ def _add_centers(blocks: Blocks, fits: list[_Fit], trials: list[int], step: int)
 
     coordinates = [f"x{j}" for j in range(dims)]
     schema = "fit int, trial int, arrival double, " + ", ".join(f"{c} double" for c in coordinates)
-    order = F.struct("arrival", *coordinates)
-    drawn = blocks.scan(draw, schema).groupBy("fit", "trial").agg(F.min(order).alias("drawn")).collect()
-    tried: dict[int, list[tuple[float, ...]]] = {}
-    for r in sorted(drawn, key=lambda r: (r["fit"], r["trial"])):
-        tried.setdefault(r["fit"], []).append(tuple(r["drawn"])[1:])
+    drawn = blocks.scan(draw, schema)
+    if blocks.count > _DIRECT_BLOCKS:
+        drawn = drawn.groupBy("fit", "trial").agg(F.min(F.struct("arrival", *coordinates)).alias("d")).select("fit", "trial", "d.*")
+    first = drawn.toArrow().to_pandas().sort_values(["fit", "trial", "arrival", *coordinates]).drop_duplicates(["fit", "trial"])
+    tried = {i: group[coordinates].to_numpy() for i, group in first.groupby("fit")}
     if step == 0:
         for i, fit in enumerate(fits):
-            fit.centers = np.array(tried[i][:1], float)
+            fit.centers = tried[i][:1]
         return
-    candidates = [np.array(tried[i], float) for i in range(len(fits))]
+    candidates = [tried[i] for i in range(len(fits))]
 
     def cost(block: int, x: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
         fit, trial, total = [], [], []
@@ -163,8 +171,8 @@ def _add_centers(blocks: Blocks, fits: list[_Fit], trials: list[int], step: int)
             total += sums.tolist()
         return {"fit": np.array(fit, np.int32), "trial": np.array(trial, np.int32), "total": np.array(total, float)}
 
-    costs = blocks.scan(cost, "fit int, trial int, total double").groupBy("fit", "trial").agg(_exact_sum("total"))
-    best = {r["fit"]: r["best"]["trial"] for r in costs.groupBy("fit").agg(F.min(F.struct("total", "trial")).alias("best")).collect()}
+    costs = blocks.totals(blocks.scan(cost, "fit int, trial int, total double"), ["fit", "trial"], ["total"])
+    best = costs.sort_values(["fit", "total", "trial"]).drop_duplicates("fit").set_index("fit")["trial"]
     for i, fit in enumerate(fits):
         fit.centers = np.vstack([fit.centers, candidates[i][best[i]]])
 
@@ -197,11 +205,9 @@ def _sums(blocks: Blocks, fits: list[_Fit]) -> list[tuple[np.ndarray, np.ndarray
         return {"slot": used.astype(np.int32), "w": out[0, used], "cost": out[1, used]} | {f"x{j}": out[2 + j, used] for j in range(dims)}
 
     columns = ["w", "cost", *[f"x{j}" for j in range(dims)]]
-    rows = (blocks.scan(add, "slot int, " + ", ".join(f"{c} double" for c in columns))
-            .groupBy("slot").agg(*[_exact_sum(c) for c in columns]).collect())
+    rows = blocks.totals(blocks.scan(add, "slot int, " + ", ".join(f"{c} double" for c in columns)), ["slot"], columns)
     sums = np.zeros((len(table), len(columns)))
-    for r in rows:
-        sums[r["slot"]] = r[1:]
+    sums[rows["slot"].to_numpy()] = rows[columns].to_numpy()
     return [(sums[a:b, 0], sums[a:b, 2:], math.fsum(sums[a:b, 1])) for a, b in zip(first, first[1:])]
 
 

@@ -80,6 +80,15 @@ def test_fits_do_not_depend_on_the_layout(spark):
     assert found[0] == found[1]
 
 
+def test_fits_are_the_same_by_a_shuffle(spark, monkeypatch):
+    points = km.distinct_points(blobs(spark), ["x", "y"])
+    with kmeans.point_blocks(points, ["x", "y"]) as blocks:
+        direct = kmeans.fit_all(blocks, [3], restarts=2)[3]
+        monkeypatch.setattr(kmeans, "_DIRECT_BLOCKS", 0)
+        shuffled = kmeans.fit_all(blocks, [3], restarts=2)[3]
+    assert np.array(direct.points) == pytest.approx(np.array(shuffled.points)) and direct.cost == pytest.approx(shuffled.cost)
+
+
 def test_fits_cost_no_more_than_parallel_seeding(spark):
     rng = np.random.default_rng(8)
     rows = [(*p, float(w)) for p, w in zip((rng.normal(size=(900, 3)) + rng.integers(-2, 3, (900, 3))).tolist(), rng.integers(1, 5, 900))]
