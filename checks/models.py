@@ -31,6 +31,18 @@ def _(spark, folder):
     return split.select("unit", "status", "is_test")
 
 
+@check("ml1_apportioned_split", f"""WITH {U}, n AS (SELECT status, count(*) AS n FROM u GROUP BY status),
+  t AS (SELECT sum(n) AS n, ceil(0.2::DOUBLE * sum(n)) AS draws FROM n),
+  q AS (SELECT status, draws, n.n::DOUBLE / t.n::DOUBLE * draws AS share FROM n, t),
+  p AS (SELECT status, floor(share) AS part, draws - sum(floor(share)) OVER () AS more,
+  row_number() OVER (ORDER BY share - floor(share) DESC, status) AS place FROM q),
+  s AS (SELECT unit, status, row_number() OVER (PARTITION BY status ORDER BY md5('42|' || unit), unit) AS rn FROM u)
+  SELECT unit, status, rn <= part + CASE WHEN place <= more THEN 1 ELSE 0 END AS is_test FROM s JOIN p USING (status)""")
+def _(spark, folder):
+    split = stratified_split(units_view(spark, folder), "status", "unit", STATUS_ORDER, apportion=True)
+    return split.select("unit", "status", "is_test")
+
+
 _Z = ", ".join(rs(f"({c} - (SELECT avg({c}) FROM v)) / (SELECT stddev_pop({c}) FROM v)") + f" AS {c}"
                for c in INDICES)
 

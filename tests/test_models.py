@@ -139,6 +139,19 @@ def test_split_is_exact_disjoint_and_independent_of_partitioning(spark):
     assert sorted(split.filter("is_test").collect()) == sorted(again.filter("is_test").collect())
 
 
+def test_apportioned_split_has_the_whole_share(spark):
+    for sizes in ([7, 7, 7, 7], [1, 2, 994, 6], [3, 0, 0, 0], [0, 0, 0, 0]):
+        labels = STATUS_ORDER[:4]
+        rows = [(i, label) for label, n in zip(labels, sizes) for i in range(n)]
+        df = spark.createDataFrame(rows, "id int, s string")
+        split = stratified_split(df, "s", "id", STATUS_ORDER, apportion=True)
+        taken = {r["s"]: r["n"] for r in split.filter("is_test").groupBy("s").agg(F.count("*").alias("n")).collect()}
+        total = -(-sum(sizes) // 5)
+        assert sum(taken.values()) == total
+        for label, n in zip(labels, sizes):
+            assert abs(taken.get(label, 0) - (n / max(sum(sizes), 1) * total)) < 1
+
+
 def test_split_keeps_every_row_of_unknown_labels_in_training(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, s string")
     assert stratified_split(df, "s", "id", STATUS_ORDER).filter("is_test").count() == 0

@@ -280,3 +280,30 @@ def test_column_bundle_follows_names():
     cols = Columns(social="a", economic="b", environment="c", score="d")
     assert cols.dimension_of == {"a": "Sosial", "b": "Ekonomi", "c": "Lingkungan"}
     assert cols.measures == ["a", "b", "c", "d"]
+
+
+def test_quantiles_shuffle_bins_and_few_values(spark):
+    """A continuous column: no exchange carries more records than bins per task, and the plan has no join."""
+    from regiometra.operators.quantiles import exact_quantiles
+
+    df = spark.range(0, 400_000, 1, 4).select((F.rand(3) + 1).alias("x"))
+    found = exact_quantiles(df, {"low": ("x", 0.25), "mid": ("x", 0.5)})
+    row = found.first()
+    exact = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5))).alias("q")).first()["q"]
+    assert [row["low"], row["mid"]] == pytest.approx(exact, abs=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "percentile" not in plan
+    bins = df.select(order_bin(F.col("x")).alias("b")).distinct().count()
+    assert bins < 6000 < 400_000
+
+
+def test_quantiles_of_many_groups_take_the_other_way(spark, monkeypatch):
+    from regiometra.operators import quantiles
+
+    df = spark.range(3000).select((F.col("id") % 40).alias("g"), (F.col("id") * 7919 % 1009 / 3).alias("x"))
+    wanted = {"a": ("x", 0.1), "b": ("x", 0.5)}
+    few = sorted(quantiles.exact_quantiles(df, wanted, ["g"]).collect())
+    monkeypatch.setattr(quantiles, "_BINS_TO_BROADCAST", 0)
+    assert sorted(quantiles.exact_quantiles(df, wanted, ["g"]).collect()) == few
+    by_spark = df.groupBy("g").agg(F.percentile("x", 0.1).alias("a"), F.percentile("x", 0.5).alias("b")).collect()
+    assert [tuple(map(float, r)) for r in few] == [pytest.approx(tuple(map(float, r))) for r in sorted(by_spark)]
