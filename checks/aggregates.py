@@ -339,3 +339,22 @@ def _(spark, folder):
 @check("pl5_report_weakest_share", f"WITH {U}, {_CHOSEN} {_share_sql('f')}")
 def _(spark, folder):
     return _report(spark, folder)["weakest_share"]
+
+
+@check("pl5_two_choices_of_one_build", f"""WITH {U}, {_CHOSEN}, g AS (SELECT * FROM u WHERE status IN ('MAJU', 'MANDIRI'))
+  SELECT 'f' AS choice, * FROM ({_kpi_sql('f')}) UNION ALL SELECT 'g', * FROM ({_kpi_sql('g')})""")
+def _(spark, folder):
+    from regiometra.operators.cells import Cells
+    from regiometra.plans.report import report
+
+    units = modeling_view(spark, folder)
+    cells = Cells.build(units, COLS)
+    choices = {"f": (_REGIONS, STATUS_ORDER[:4]), "g": ((), ("MAJU", "MANDIRI"))}
+    both = [report(units, *chosen, cols=COLS, cells=cells)["kpis"].select(F.lit(name).alias("choice"), "*")
+            for name, chosen in choices.items()]
+    return r(both[0].unionByName(both[1]), "pct_lagging", "pct_top", "mean_score")
+
+
+@check("pl5_report_weakest_share_lagging", f"WITH {U}, {_CHOSEN}, l AS (SELECT * FROM f WHERE {LAGGING_SQL}) {_share_sql('l')}")
+def _(spark, folder):
+    return _report(spark, folder)["weakest_share_lagging"]

@@ -47,6 +47,25 @@ def _(spark, folder):
     return patched.select(F.col("o_orderkey").cast("bigint"), "o_orderpriority")
 
 
+@check("cln4_patches_from_a_table", """WITH p AS (SELECT * FROM orders WHERE o_orderkey IN
+  (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000))
+  SELECT o.o_orderkey, CASE WHEN p.o_orderkey IS NULL OR p.o_orderkey % 3 = 1 THEN o.o_orderpriority
+  ELSE 'P' || p.o_custkey END AS o_orderpriority, CASE WHEN p.o_orderkey % 3 = 0 THEN NULL
+  WHEN p.o_orderkey % 3 = 1 THEN p.o_custkey / 2.0::DOUBLE ELSE o.o_totalprice END AS o_totalprice
+  FROM orders o LEFT JOIN p USING (o_orderkey)""")
+def _(spark, folder):
+    from regiometra.operators.lookups import patch_from_table
+
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_totalprice").cast("double"))
+    first, k = orders.orderBy("o_orderkey").limit(1000), F.col("o_orderkey")
+    text = first.where(k % 3 != 1).select(k.alias("key"), F.lit("o_orderpriority").alias("column"), F.concat(F.lit("P"), "o_custkey").alias("value"))
+    price = first.where(k % 3 != 2).select(k.alias("key"), F.lit("o_totalprice").alias("column"),
+                                           F.when(k % 3 == 1, (F.col("o_custkey") / 2).cast("string")).alias("value"))
+    keyed = orders.withColumn("o_orderkey", k.cast("string"))
+    patched = patch_from_table(keyed, "o_orderkey", text.unionByName(price), ["o_orderpriority", "o_totalprice"])
+    return patched.select(F.col("o_orderkey").cast("bigint"), "o_orderpriority", "o_totalprice")
+
+
 @check("cln5_normalize_code", """SELECT o_orderkey, o_orderkey::VARCHAR AS strict_code,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey::VARCHAR END AS lenient_code FROM orders""")
 def _(spark, folder):

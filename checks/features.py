@@ -76,6 +76,24 @@ def _(spark, folder):
     return with_band(lines_view(spark, folder), COLS).select(*KEYS, "potensi_naik")
 
 
+_BANDS = """b AS (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'MAJU' WHEN 1 THEN 'BERKEMBANG' WHEN 2 THEN 'TERTINGGAL'
+  WHEN 3 THEN 'MANDIRI' ELSE 'SANGAT TERTINGGAL' END AS status, n_nationkey * 0.04::DOUBLE AS low,
+  n_nationkey * 0.04::DOUBLE + 0.01::DOUBLE + n_regionkey * 0.05::DOUBLE AS high, n_name AS label FROM nation)"""
+
+
+@check("prj7_bands_from_a_table", f"""WITH {V}, {_BANDS} SELECT {K}, coalesce((SELECT min_by(label, low) FROM b
+  WHERE b.status = v.status AND v.idm >= low AND v.idm < high), 'Biasa') AS potensi FROM v""")
+def _(spark, folder):
+    from regiometra.operators.lookups import band_from_table
+
+    names = F.array(*[F.lit(s) for s in ("MAJU", "BERKEMBANG", "TERTINGGAL", "MANDIRI", "SANGAT TERTINGGAL")])
+    low = F.col("n_nationkey") * F.lit(0.04)
+    bands = table(spark, folder, "nation").select(
+        F.get(names, (F.col("n_nationkey") % 5).cast("int")).alias("status"), low.alias("low"),
+        (low + F.lit(0.01) + F.col("n_regionkey") * F.lit(0.05)).alias("high"), F.col("n_name").alias("label"))
+    return band_from_table(lines_view(spark, folder), "idm", "status", bands, "potensi").select(*KEYS, "potensi")
+
+
 @check("prj8_classify_by_threshold", f"WITH {V} SELECT {K}, {CASE_STATUS} AS status FROM v")
 def _(spark, folder):
     return lines_view(spark, folder).select(*KEYS, ft.classify_by_threshold("idm").alias("status"))

@@ -138,17 +138,22 @@ def value_counts(df: DataFrame, column: str, output: str = "JUMLAH") -> DataFram
             .agg(F.count("*").alias(output)).orderBy(_c(output).desc(), _c(column)))
 
 
+def _rows(weight: str | None) -> Column:
+    """Rows, or where rows are cells of many, the sum of their ``weight``."""
+    return F.count("*") if weight is None else F.sum(_c(weight))
+
+
 def value_share(df: DataFrame, column: str, value_name: str | None = None,
-                count_name: str = "JUMLAH", share_name: str = "PERSENTASE") -> DataFrame:
+                count_name: str = "JUMLAH", share_name: str = "PERSENTASE", weight: str | None = None) -> DataFrame:
     """``value_counts`` with the percentage of all rows, missing ones included, to 2 decimals.
 
-    Without the column the table is empty.
+    Without the column the table is empty. ``weight`` names a column of row counts.
     """
     name = value_name or column
     if column not in df.columns:
         return df.sparkSession.createDataFrame(
             [], f"`{name}` string, `{count_name}` bigint, `{share_name}` double")
-    counts = df.groupBy(_c(column).alias(name)).agg(F.count("*").alias(count_name))
+    counts = df.groupBy(_c(column).alias(name)).agg(_rows(weight).alias(count_name))
     shares = with_scalars(counts, counts.agg(F.sum(_c(count_name)).alias("_all")))
     share = round_half_even(_c(count_name) / F.col("_all") * 100, 2)
     return (shares.filter(_c(name).isNotNull()).withColumn(share_name, share).drop("_all")
@@ -161,15 +166,15 @@ def value_share_where(df: DataFrame, condition: Column, column: str, **names: st
 
 
 def status_summary(df: DataFrame, column: str, domain: DataFrame,
-                   count_name: str = "JUMLAH", share_name: str = "PERSENTASE") -> DataFrame:
+                   count_name: str = "JUMLAH", share_name: str = "PERSENTASE", weight: str | None = None) -> DataFrame:
     """Count and share of all rows for every status of the domain, in its order.
 
-    An empty input, or one without the column, gives an empty table.
+    An empty input, or one without the column, gives an empty table. ``weight`` names a column of row counts.
     """
     if column not in df.columns:
         return df.sparkSession.createDataFrame(
             [], f"`{column}` string, `{count_name}` bigint, `{share_name}` double")
-    counts = df.groupBy(_c(column)).agg(F.count("*").alias(count_name))
+    counts = df.groupBy(_c(column)).agg(_rows(weight).alias(count_name))
     total = counts.agg(F.sum(_c(count_name)).alias("_all"))
     full = with_scalars(reindex_to_domain(counts, column, count_name, domain), total)
     share = round_half_even(_c(count_name) / F.col("_all") * 100, 2)
@@ -184,12 +189,23 @@ def group_rate(df: DataFrame, group: str, key: str, flag: Column | None, total_n
     if group not in df.columns or key not in df.columns or flag is None:
         return df.sparkSession.createDataFrame(
             [], f"`{group}` string, `{total_name}` bigint, `{flagged_name}` bigint, `{rate_name}` double")
-    rates = (df.filter(_c(group).isNotNull()).groupBy(_c(group))
-             .agg(F.count(_c(key)).alias(total_name), F.count_if(flag).alias(flagged_name)))
+    return _rates(df, group, F.count(_c(key)), F.count_if(flag), total_name, flagged_name, rate_name)
+
+
+def _rates(df: DataFrame, group: str, total: Column, flagged: Column, total_name: str = "total_desa",
+           flagged_name: str = "desa_tertinggal", rate_name: str = "persentase_tertinggal") -> DataFrame:
+    rates = df.filter(_c(group).isNotNull()).groupBy(_c(group)).agg(total.alias(total_name), flagged.alias(flagged_name))
     rate = round_half_even(F.try_divide(_c(flagged_name).cast("double"), _c(total_name)) * 100, 2)
     return rates.withColumn(rate_name, rate).orderBy(_c(rate_name).desc(), _c(group))
 
 
+def cell_rate(cells: DataFrame, group: str, flag: Column | None) -> DataFrame:
+    """``group_rate`` from the cells of ``unit_cells``; empty without the columns."""
+    if group not in cells.columns or flag is None:
+        return group_rate(cells, group, "_units", None)
+    return _rates(cells, group, F.sum("_units"), F.sum(F.when(flag, F.col("_n")).otherwise(0)))
+
+
 def group_profile_median(df: DataFrame, group: str, medians: Mapping[str, str], status: str,
                          mode_name: str, key: str, count_name: str) -> DataFrame:
     """Per group: exact medians (output -> column), mode of status, count of units."""
@@ -289,10 +305,22 @@ def kpis(df: DataFrame, region: str, status: str, score: str, lagging: Sequence[
     def has(c: str) -> bool:
         return c in df.columns
 
-    keys = [_c(c) for c in (region, status) if has(c)]
-    value = _number(score) if has(score) else F.lit(None).cast("double")
-    cells = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"),
-                                  F.count(value).alias("_scored"))
+    keys = [c for c in (region, status) if has(c)]
+    return cell_kpis(unit_cells(df, keys, None, score), region, status, lagging, top_status)
+
+
+def unit_cells(df: DataFrame, keys: Sequence[str], unit: str | None, score: str) -> DataFrame:
+    """One row per combination of ``keys``: rows ``_n``, present units, sum and number of present scores."""
+    value = _number(score) if score in df.columns else F.lit(None).cast("double")
+    units = F.count(_c(unit)) if unit and unit in df.columns else F.lit(None).cast("bigint")
+    return df.groupBy(*[_c(c) for c in keys]).agg(
+        F.count("*").alias("_n"), units.alias("_units"), F.sum(value).alias("_sum"), F.count(value).alias("_scored"))
+
+
+def cell_kpis(cells: DataFrame, region: str, status: str, lagging: Sequence[str], top_status: str) -> DataFrame:
+    """``kpis`` from the cells of ``unit_cells``."""
+    def has(c: str) -> bool:
+        return c in cells.columns
 
     def share(flag: Column) -> Column:
         part = F.sum(F.when(flag, F.col("_n")).otherwise(0)).cast("double")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from regiometra.domain import LAGGING, STATUS_ORDER, TOP_STATUS, Columns, status_table
+from regiometra.domain import Columns
 from regiometra.operators import aggregates as agg
-from regiometra.operators.features import is_member
+from regiometra.operators.cells import Cells
 from regiometra.operators.filters import dashboard_top, distinct_options, filter_members, sort_by
 from regiometra.plans.cluster import cluster_points
-from regiometra.plans.explore import lagging_rate, region_profile, scatter_points
+from regiometra.plans.explore import region_profile, scatter_points
 from regiometra.plans.tables import Tables
 from regiometra.sources.tables import materialize_if_absent, write_csv
 
@@ -33,24 +33,27 @@ def filter_options(modeling: DataFrame, cols: Columns = Columns()) -> dict[str,
 
 def report(modeling: DataFrame, regions: Sequence[str] = (), statuses: Sequence[str] = (),
            clustered: DataFrame | None = None, region_stats: DataFrame | None = None,
-           top: int | None = None, sample: int = 5000, cols: Columns = Columns()) -> Tables:
+           top: int | None = None, sample: int = 5000, cols: Columns = Columns(), cells: Cells | None = None) -> Tables:
     """Named lazy tables after filtering; an empty choice filters nothing.
 
-    The region profile is not filtered, the clustered table is filtered on its own.
+    Indicators, rates and shares come from one table of cells, made in one scan when the first of them is asked for,
+    or given as ``cells``, so that many choices share it. The region profile is not filtered, the clustered table is
+    filtered on its own.
     """
     choices = {cols.region: list(regions), cols.status: list(statuses)}
     rows = filter_members(modeling, choices)
+
+    @functools.cache
+    def chosen() -> Cells:
+        return (cells or Cells.build(modeling, cols)).where(regions, statuses)
+
     tables = {
-        "kpis": lambda: agg.kpis(rows, cols.region, cols.status, cols.score, LAGGING, TOP_STATUS),
-        "status_summary": lambda: agg.status_summary(
-            rows, cols.status, status_table(modeling.sparkSession, STATUS_ORDER)),
-        "lagging_rate": lambda: lagging_rate(rows, cols),
-        "lagging_top": lambda: dashboard_top(lagging_rate(rows, cols), "persentase_tertinggal",
-                                             cols.region, top),
-        "weakest_share": lambda: agg.value_share(rows, cols.weakest, "DIMENSI"),
-        "weakest_share_lagging": lambda: agg.value_share_where(
-            rows, is_member(cols.status, LAGGING) if cols.status in rows.columns else F.lit(False),
-            cols.weakest, value_name="DIMENSI"),
+        "kpis": lambda: chosen().kpis(),
+        "status_summary": lambda: chosen().status_summary(),
+        "lagging_rate": lambda: chosen().lagging_rate(),
+        "lagging_top": lambda: dashboard_top(chosen().lagging_rate(), "persentase_tertinggal", cols.region, top),
+        "weakest_share": lambda: chosen().weakest_share(),
+        "weakest_share_lagging": lambda: chosen().weakest_share_lagging(),
         "correlation": lambda: agg.correlation_matrix(rows, cols.correlated),
         "scatter": lambda: scatter_points(rows, sample, cols),
     }
