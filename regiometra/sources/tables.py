@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -100,28 +102,75 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+_POINTER = "_CURRENT"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The folder with the table in force at ``path``: the one its pointer names, or a plain, completed folder."""
+    files, pointer = _file_system(spark, f"{path}/{_POINTER}")
+    if files.exists(pointer):
+        stream = files.open(pointer)
+        try:
+            return f"{path}/{spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
+    return path if path_exists(spark, f"{path}/_SUCCESS") else None
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], replace: bool = True) -> str:
+    """Write a table to a fresh folder below ``path`` and then point to it; returns the folder in force.
+
+    The pointer is one small file and comes into force by a rename, so a reader finds the former table or the whole
+    new one. Without ``replace`` the first of several writers wins, and the others get its folder. Folders no longer
+    in force stay, as readers may still be at them.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    write(f"{path}/{version}")
+    files, draft = _file_system(spark, f"{path}/_{version}")
+    stream = files.create(draft)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options
+    how = spark.sparkContext._gateway.new_array(options.Rename, 1)
+    how[0] = options.Rename.OVERWRITE if replace else options.Rename.NONE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(draft, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}"), how)
+    except Py4JJavaError as error:
+        if replace or "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        files.delete(draft, False)
+    return published(spark, path) or f"{path}/{version}"
+
+
 def materialize_if_absent(spark: SparkSession, path: str, required: str,
                           compute: Callable[[], DataFrame],
                           types: Mapping[str, str] | None = None) -> DataFrame:
-    """Reuse the summary CSV at ``path`` if it has the ``required`` column, else compute and store it.
+    """Reuse the summary CSV published at ``path`` if it has the ``required`` column, else compute and publish it.
 
     An empty result is returned and not stored. ``types`` casts the columns of the stored text. A folder that a
-    broken write has left without its success mark counts as absent.
+    broken write has left without its success mark counts as absent. Of two sessions that find nothing both compute,
+    one publishes, and both read what it has published.
     """
-    def stored() -> DataFrame:
-        raw = _whole_files(spark, path)
+    def stored(folder: str) -> DataFrame:
+        raw = _whole_files(spark, folder)
         return raw.select(*[F.col(f"`{c}`").try_cast((types or {}).get(c, "string")).alias(c)
                             for c in raw.columns])
 
-    if path_exists(spark, f"{path}/_SUCCESS"):
-        found = stored()
+    folder = published(spark, path)
+    if folder:
+        found = stored(folder)
         if required in found.columns:
             return found
     fresh = compute().persist()  # a summary: small, and needed for the test and the write
     try:
         if fresh.isEmpty():
             return spark.createDataFrame([], fresh.schema)
-        write_csv(fresh, path)
+        return stored(publish(spark, path, lambda target: write_csv(fresh, target), replace=folder is not None))
     finally:
         fresh.unpersist()
-    return stored()

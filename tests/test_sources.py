@@ -208,3 +208,43 @@ def test_a_large_csv_is_read_by_several_tasks(spark, tmp_path):
     staged = found.inputFiles()
     assert len(staged) > 4
     assert sorted((int(r.k), r.t) for r in found.collect()) == rows
+
+
+def test_two_writers_and_a_reader_meet_whole_tables_only(spark, tmp_path):
+    import threading
+
+    path, barrier, results, seen = str(tmp_path / "summary"), threading.Barrier(3), {}, []
+
+    def compute(name):
+        barrier.wait(timeout=60)
+        return spark.range(40).select(F.col("id").alias("k"), F.lit(name).alias("who"))
+
+    def write(name):
+        found = st.materialize_if_absent(spark, path, "k", lambda: compute(name))
+        results[name] = {r["who"] for r in found.collect()}
+
+    writers = [threading.Thread(target=write, args=(n,)) for n in ("a", "b")]
+    for w in writers:
+        w.start()
+    barrier.wait(timeout=60)
+    while any(w.is_alive() for w in writers):
+        folder = st.published(spark, path)
+        if folder:
+            seen.append([(r["k"], r["who"]) for r in spark.read.option("header", True).csv(folder).collect()])
+    assert results["a"] == results["b"] and len(results["a"]) == 1
+    assert all(len(rows) == 40 and len({w for _, w in rows}) == 1 for rows in seen)
+    again = st.materialize_if_absent(spark, path, "k", lambda: compute("late"))
+    assert {r["who"] for r in again.collect()} == results["a"]
+
+
+def test_a_publication_replaces_the_former_at_once(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert st.published(spark, path) is None
+    first = st.publish(spark, path, lambda f: st.write_parquet(spark.range(3).toDF("a"), f))
+    held = spark.read.parquet(first)
+    second = st.publish(spark, path, lambda f: st.write_parquet(spark.range(5).toDF("a"), f))
+    assert st.published(spark, path) == second != first
+    assert held.count() == 3 and spark.read.parquet(second).count() == 5
+    with pytest.raises(ZeroDivisionError):
+        st.publish(spark, path, lambda f: 1 / 0)
+    assert st.published(spark, path) == second
