@@ -199,6 +199,24 @@ def _(spark, folder):
     return r(matrix, *_CORR)
 
 
+_LAGS = range(30)
+
+
+def _lag_sql(k: int) -> str:
+    """Thirty columns from line figures, some with holes."""
+    value = f"((l_partkey * {k + 3} + l_suppkey * {7 * k + 1}) % {101 + k})::DOUBLE + {'l_quantity' if k % 2 else '0'}"
+    return f"CASE WHEN l_orderkey % {5 + k} <> 0 THEN {value} END" if k % 3 == 0 else value
+
+
+@check("ag17_wide_correlations", f"WITH w AS (SELECT {', '.join(f'{_lag_sql(k)} AS w{k}' for k in _LAGS)} FROM lineitem) "
+       + " UNION ALL ".join(f"SELECT 'w{a}' AS feature, " + ", ".join(rs(f"corr(w{a}, w{b})") + f" AS w{b}" for b in _LAGS) + " FROM w" for a in _LAGS))
+def _(spark, folder):
+    columns = [F.expr(_lag_sql(k)).alias(f"w{k}") for k in _LAGS]
+    wide = table(spark, folder, "lineitem").select(*columns)
+    names = [f"w{k}" for k in _LAGS]
+    return r(ag.correlation_matrix(wide, names), *names)
+
+
 def _kpi_sql(source: str) -> str:
     return f"""SELECT count(*) AS total_units, count(DISTINCT prov) AS total_regions,
   {rs(f"avg(CASE WHEN {LAGGING_SQL} THEN 1.0::DOUBLE ELSE 0 END) * 100")} AS pct_lagging,

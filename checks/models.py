@@ -255,6 +255,48 @@ def _classified(spark, folder):
     return pc.classify(modeling_view(spark, folder), COLS)
 
 
+_TREE_INPUTS, _TREE_DEPTH = [*INDICES, "n_rec", "total_rec"], 5
+
+
+def _tree_sql() -> str:
+    """A tree grown in SQL: at every level the best of all splits of every node, from counts by distinct value."""
+    k, names = range(len(STATUS_ORDER)), sorted(STATUS_ORDER)
+    label = "CASE status " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names)) + " END"
+    steps = [f"r0 AS (SELECT {', '.join(f'{c}::DOUBLE AS x{i}' for i, c in enumerate(_TREE_INPUTS))}, {label} AS y, 1 AS node FROM u)"]
+
+    def kept(counts: list[str]) -> str:
+        return f"({' + '.join(f'{c} * {c}' for c in counts)}) / ({' + '.join(counts)})"
+
+    for d in range(_TREE_DEPTH):
+        long = " UNION ALL ".join(f"SELECT node, y, {i} AS f, x{i} AS v FROM r{d}" for i in range(len(_TREE_INPUTS)))
+        value = "CASE f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(_TREE_INPUTS))) + " END"
+        score = kept([f"l{i}" for i in k]) + " + " + kept([f"(t{i} - l{i})" for i in k])
+        steps += [
+            f"g{d} AS (SELECT node, f, v, {', '.join(f'count(*) FILTER (y = {i})::DOUBLE AS c{i}' for i in k)} FROM ({long}) GROUP BY node, f, v)",
+            f"w{d} AS (SELECT node, f, v, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS nxt, "
+            + ", ".join(f"sum(c{i}) OVER (PARTITION BY node, f ORDER BY v) AS l{i}, sum(c{i}) OVER (PARTITION BY node, f) AS t{i}" for i in k)
+            + f" FROM g{d})",
+            f"s{d} AS (SELECT *, {score} AS score FROM w{d} WHERE nxt IS NOT NULL AND greatest({', '.join(f't{i}' for i in k)}) < {' + '.join(f't{i}' for i in k)})",
+            f"b{d} AS (SELECT node, f, (v + nxt) / 2 AS cut, {' + '.join(f'l{i}' for i in k)} AS nl, {' + '.join(f't{i} - l{i}' for i in k)} AS nr "
+            f"FROM s{d} QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, f, v) = 1)",
+            f"r{d + 1} AS (SELECT r.* REPLACE (2 * node + CASE WHEN {value} <= cut THEN 0 ELSE 1 END AS node) FROM r{d} r JOIN b{d} USING (node))"]
+    feature = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_TREE_INPUTS)) + " END"
+    found = " UNION ALL ".join(f"SELECT node::INTEGER AS node, {feature} AS feature, {rs('cut', 9)} AS threshold, "
+                               f"nl::BIGINT AS n_left, nr::BIGINT AS n_right FROM b{d}" for d in range(_TREE_DEPTH))
+    return f"WITH {U}, {', '.join(steps)} {found}"
+
+
+@check("ml11_exact_tree_splits", _tree_sql())
+def _(spark, folder):
+    from regiometra.operators import exact_tree
+    from regiometra.operators.features import encode_label
+    from regiometra.session import stage
+
+    units = modeling_view(spark, folder).select(*_TREE_INPUTS, encode_label("status", STATUS_ORDER).alias("label"))
+    tree = exact_tree.fit(stage(units, "training"), _TREE_INPUTS, STATUS_ORDER, _TREE_DEPTH)
+    return r(tree.table(spark), "threshold", digits=9)
+
+
 @check("ml11_ml12_ml14_predictions")
 def _(spark, folder):
     return _classified(spark, folder).predictions

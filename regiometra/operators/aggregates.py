@@ -256,6 +256,58 @@ def crosstab_row_percent(df: DataFrame, rows: str, columns: str,
     return counts.select(_c(rows), *[(F.col(f"_{i}") / F.col("_all") * 100).alias(n) for i, n in enumerate(names)])
 
 
+_NARROW, _GRAM_BLOCK = 24, 64
+_SUMS = ("n", "si", "sj", "sii", "sjj", "sij")
+
+
+def wide_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``correlation_matrix`` for many columns: a task adds up matrix products of column blocks, pair by pair of blocks.
+
+    With absent values as zeros and a mask of the present ones, products of values, squares and masks give every sum of
+    every pairwise complete pair. A task sends one record per pair of columns, which are summed by key. A column
+    counts as constant where its variance is below rounding. A task holds about 50 bytes per pair of columns.
+    """
+    d = len(columns)
+    numbers = df.select(*[_number(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    center = [m or 0.0 for m in numbers.agg(*[F.avg(f"x{i}") for i in range(d)]).first()]  # one number per column
+    blocks = [range(a, min(a + _GRAM_BLOCK, d)) for a in range(0, d, _GRAM_BLOCK)]
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = {(a, b): 0.0 for a in range(len(blocks)) for b in range(a, len(blocks))}
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - center
+            mask = ~np.isnan(x)
+            x, m = np.where(mask, x, 0.0), mask.astype(float)
+            square = x * x
+            for a, b in held:
+                i, j = slice(blocks[a][0], blocks[a][-1] + 1), slice(blocks[b][0], blocks[b][-1] + 1)
+                held[a, b] = held[a, b] + np.stack([m[:, i].T @ m[:, j], x[:, i].T @ m[:, j], m[:, i].T @ x[:, j],
+                                                    square[:, i].T @ m[:, j], m[:, i].T @ square[:, j], x[:, i].T @ x[:, j]])
+        for (a, b), sums in held.items():
+            if np.ndim(sums):
+                i, j = (g.ravel().astype(np.int32) for g in np.meshgrid(blocks[a], blocks[b], indexing="ij"))
+                own = i <= j
+                yield pa.RecordBatch.from_arrays([pa.array(i[own]), pa.array(j[own]), *[pa.array(s.ravel()[own]) for s in sums]],
+                                                 names=["i", "j", *_SUMS])
+
+    sent = numbers.mapInArrow(products, "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
+    cells = sent.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS]).where("n > 0")
+    spread = [F.col(f"s{k}{k}") - F.col(f"s{k}") * F.col(f"s{k}") / F.col("n") for k in "ij"]
+    varies = [v > F.lit(1e-12) * F.col(f"s{k}{k}") for v, k in zip(spread, "ij")]
+    r = (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(spread[0] * spread[1])
+    r = F.when(varies[0] & varies[1], F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
+    cells = cells.select("i", "j", r.alias("r"))
+    both = cells.unionByName(cells.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    names = F.array(*[F.lit(c) for c in columns])
+    rows = df.sparkSession.range(d).select(F.col("id").cast("int").alias("i"))  # a column without a pair has a row too
+    return (rows.join(both, "i", "left").groupBy("i")
+            .agg(*[F.max(F.when(F.col("j") == j, F.col("r"))).alias(c) for j, c in enumerate(columns)])
+            .orderBy("i").select(F.get(names, F.col("i")).alias("feature"), *[_c(c) for c in columns]))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix over pairwise complete rows, one row per column of the matrix.
 
@@ -264,11 +316,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Values are centred by the column means, so plain sums of products lose no digits, and they
     are summed per pattern of missing columns: within a pattern every pair has the same rows, so
     one sum per column and one per pair suffice. A pair then adds up the patterns it is in.
+    More than 24 columns go by ``wide_correlations``.
     """
     used = [c for c in columns if c in df.columns]
     d = len(used)
     if d < 2:
         return df.sparkSession.createDataFrame([], "feature string")
+    if d > _NARROW:
+        return wide_correlations(df, used)
     numbers = df.select(*[_number(c).alias(f"x{i}") for i, c in enumerate(used)])
     means = numbers.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)])
     centred = with_scalars(numbers, means).select(

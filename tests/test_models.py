@@ -10,6 +10,7 @@ from checks.bindings import COLS, modeling_view
 from regiometra.domain import STATUS_ORDER
 from regiometra.operators import clustering as km
 from regiometra.operators import evaluation as ev
+from regiometra.operators import exact_tree
 from regiometra.operators import kmeans
 from regiometra.operators.splitting import stratified_split
 from regiometra.plans.classify import classify, model_inputs
@@ -219,3 +220,40 @@ def test_classification_and_scoring_flow(spark, tmp_path):
     bench = {r["scenario"]: r["ikl_pct"] for r in tables["benchmark"].collect()}
     assert bench[2] == 0.0 and bench[1] > 50
     assert "scored" not in what_if(scenarios, units, None, "scenario", COLS)
+
+
+def test_exact_tree_takes_the_best_of_all_splits(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=400), rng.integers(0, 4, 400), rng.normal(size=400).round(1)])
+    y = ((x[:, 0] > 0.123) + (x[:, 1] > 1) * (x[:, 2] > -0.35)).astype(int)
+    rows = [(*map(float, a), int(b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, label int").cache()
+    tree = exact_tree.fit(df, ["a", "b", "c"], ["u", "v", "w"], 4)
+
+    def grow(members, node, depth):
+        """Splits by trying every threshold of every feature."""
+        if depth == 4 or len(set(y[members])) < 2:
+            return {}
+        tried = []
+        for f in range(3):
+            values = np.unique(x[members, f])
+            for low, high in zip(values, values[1:]):
+                left = members[x[members, f] <= low]
+                right = members[x[members, f] > low]
+                kept = sum((np.bincount(y[side], minlength=3).astype(float) ** 2).sum() / len(side) for side in (left, right))
+                tried.append((-kept, f, low, high, left, right))
+        if not tried:
+            return {}
+        _, f, low, high, left, right = min(tried, key=lambda t: t[:3])
+        return {node: (f, (low + high) / 2, len(left), len(right)), **grow(left, 2 * node, depth + 1), **grow(right, 2 * node + 1, depth + 1)}
+
+    want = grow(np.arange(400), 1, 0)
+    assert {n: (s.feature, s.threshold, sum(s.left), sum(s.right)) for n, s in tree.splits.items()} == want
+    assert sum(tree.importance().values()) == pytest.approx(1)
+    save_model(tree.model(), str(tmp_path / "tree"))
+    placed = load_model(spark, str(tmp_path / "tree")).transform(df)
+    assert placed.where("prediction = label").count() > 380 and {r[0] for r in placed.select("predicted_status").distinct().collect()} <= {"u", "v", "w"}
+    with pytest.raises(ValueError):
+        exact_tree.fit(df.withColumn("a", F.lit(None).cast("double")), ["a"], ["u", "v", "w"])
+    assert exact_tree.fit(df.withColumn("a", F.lit(1.0)), ["a"], ["u", "v", "w"]).splits == {}
+    assert exact_tree.fit(df.limit(0), ["a", "b"], ["u", "v", "w"]).splits == {}

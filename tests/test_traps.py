@@ -307,3 +307,22 @@ def test_quantiles_of_many_groups_take_the_other_way(spark, monkeypatch):
     assert sorted(quantiles.exact_quantiles(df, wanted, ["g"]).collect()) == few
     by_spark = df.groupBy("g").agg(F.percentile("x", 0.1).alias("a"), F.percentile("x", 0.5).alias("b")).collect()
     assert [tuple(map(float, r)) for r in few] == [pytest.approx(tuple(map(float, r))) for r in sorted(by_spark)]
+
+
+def test_correlations_of_two_hundred_columns(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(300, 200)) + rng.normal(size=(300, 1)) + 1000
+    data[rng.random(data.shape) < 0.1] = np.nan
+    data[:, 7], data[:, 8], data[:, 9] = 2.5, np.nan, 2 * data[:, 10]
+    names = [f"c{i}" for i in range(200)]
+    frame = pd.DataFrame(data, columns=names)
+    matrix = ag.correlation_matrix(spark.createDataFrame(frame).repartition(3), names).toPandas()
+    assert matrix["feature"].tolist() == names
+    got, want = matrix[names].to_numpy(float), frame.corr(min_periods=2).to_numpy()
+    want[7, :] = want[:, 7] = np.nan
+    assert (np.isnan(got) == np.isnan(want)).all()
+    assert np.nanmax(np.abs(got - want)) < 1e-9
+
