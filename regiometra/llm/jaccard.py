@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regiometra.llm.memory import batches_giving_back
 from regiometra.llm.components import components
 from regiometra.llm.repeats import _BYTE_HASH, NO_ID, _spans_hash, mixed, run_hashes, word_spans
 from regiometra.session import stage
@@ -132,7 +133,7 @@ def signatures(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text")
                  pa.array(sizes.astype(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())],
                 names=["id", "th", "fa", "fb", "size", "values"])
 
-    return _by_document(docs, key, text).mapInArrow(run, "id bigint, th bigint, fa bigint, fb bigint, size bigint, values binary")
+    return _by_document(docs, key, text).mapInArrow(batches_giving_back(run), "id bigint, th bigint, fa bigint, fb bigint, size bigint, values binary")
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -221,10 +222,10 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> Data
             yield pd.DataFrame({"a": a, "b": b})
 
     ordered = pairs.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    return ordered.select("band", "lo", "hi", "block", "rid", "values").mapInPandas(compare, "a bigint, b bigint")
+    return ordered.select("band", "lo", "hi", "block", "rid", "values").mapInPandas(batches_giving_back(compare), "a bigint, b bigint")
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray], columns_at_once: int = 1 << 15) -> np.ndarray:
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns_at_once: int = 1 << 13) -> np.ndarray:
     """Numbers of common elements of every set on the left with every set on the right."""
     sizes = [len(x) for x in [*left, *right]]
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -281,7 +282,7 @@ def verified(members: DataFrame, threshold: Fraction) -> DataFrame:
                 yield pd.DataFrame({"rid": rid[some], "links": links[some], "parent": [parent.get(r, r) for r in rid[some].tolist()]})
 
     ordered = pairs.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    return ordered.select("comp", "lo", "hi", "block", "rid", "times", "grams").mapInPandas(check, "rid bigint, links bigint, parent bigint")
+    return ordered.select("comp", "lo", "hi", "block", "rid", "times", "grams").mapInPandas(batches_giving_back(check), "rid bigint, links bigint, parent bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
@@ -296,7 +297,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> Da
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(blobs, pa.binary())],
                                              names=["rid", "comp", "times", "grams"])
 
-    return texts.mapInArrow(run, "rid bigint, comp bigint, times bigint, grams binary").dropDuplicates(["rid"])
+    return texts.mapInArrow(batches_giving_back(run), "rid bigint, comp bigint, times bigint, grams binary").dropDuplicates(["rid"])
 
 
 def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, key: str = "doc_id",

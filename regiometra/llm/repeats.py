@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regiometra.llm.memory import giving_back
 from regiometra.session import new_folder
 
 #: Bytes of text in a bucket, and units scanned at once.
@@ -280,6 +281,7 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
     stored, buckets = store(docs, key, text)
     shift = np.uint64(64 - min(20, max(4, (buckets - 1).bit_length())))
 
+    @giving_back
     def send_anchors(frame: pd.DataFrame) -> pd.DataFrame:
         _, _, units = _opened(frame, kind)
         anchors = entries(units, kind, full=False)[0]
@@ -291,6 +293,7 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
                 for g, o in zip(names, np.split(order, first[1:]))] if len(order) else []
         return pd.DataFrame(rows, columns=["part", "db", "anchors", "counts"])
 
+    @giving_back
     def find_shared(frame: pd.DataFrame) -> pd.DataFrame:
         sizes = frame["anchors"].map(len).to_numpy() // 8
         anchors = np.frombuffer(b"".join(frame["anchors"]), np.uint64)
@@ -302,6 +305,7 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
         rows = [(db, _pack(anchors[chosen]), _pack(total[chosen] > hot)) for db, chosen in by_owner(owner, shared)]
         return pd.DataFrame(rows, columns=["db", "anchors", "hot"])
 
+    @giving_back
     def send_contexts(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         columns = ["part", "db", "ids", "rows", "places", "anchors", "offsets", "sizes", "data"]
         if not len(frame) or not len(shared):
@@ -343,6 +347,7 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
                          _pack((at_anchor[o] - first[o]).astype("<u2")), _pack(np.array([len(p) for p in pieces], "<u4")), b"".join(pieces)))
         return pd.DataFrame(rows, columns=columns)
 
+    @giving_back
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         columns = ["db", "rows", "ranges"]
         if frame["part"].iloc[0] < 0:
@@ -405,6 +410,7 @@ def find_and_cut(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "
         rows = [(d, _pack(found[chosen, 0] & 0xFFFFFFFF), _pack(found[chosen, 1:])) for d, chosen in by_owner(home, np.arange(len(home)))]
         return pd.DataFrame(rows, columns=columns)
 
+    @giving_back
     def cut(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame([], columns=["id", "th", "units", "removed", "spans", "kept"])

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regiometra.llm.memory import batches_giving_back
+
 # Fixed values of the byte-level BPE format: how texts are cut before merging, and the bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OWN_BYTES = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
@@ -75,5 +77,5 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: st
             names=["key", "piece", "start", "length", "ids"])
 
     narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    pieces = narrow.mapInArrow(cut, f"key {kind}, piece int, start bigint, length bigint, ids binary")
+    pieces = narrow.mapInArrow(batches_giving_back(cut), f"key {kind}, piece int, start bigint, length bigint, ids binary")
     return pieces.withColumnRenamed("key", key)
