@@ -234,11 +234,11 @@ def _(spark, folder):
         F.count("*").alias("n_clusters"), F.count_if(F.coalesce(off[0] | off[1] | off[2], F.lit(True))).alias("n_off"))
 
 
-_S = ", ".join(f"(x.{c} - (SELECT avg({c}) FROM u)) / (SELECT stddev_pop({c}) FROM u) AS {c}" for c in INDICES)
+_SCALED = ", ".join(f"(x.{c} - (SELECT avg({c}) FROM u)) / (SELECT stddev_pop({c}) FROM u) AS {c}" for c in INDICES)
 _GAPS = " + ".join(f"p.{c} * p.{c} * g.n - 2 * p.{c} * g.s_{c} + g.q_{c}" for c in INDICES)
 
 
-@check("ml9_silhouette_fast", f"""WITH {U}, z AS (SELECT x.unit, {GIVEN} AS c, {_S} FROM u x), g AS (SELECT c, count(*) AS n,
+@check("ml9_silhouette_fast", f"""WITH {U}, z AS (SELECT x.unit, {GIVEN} AS c, {_SCALED} FROM u x), g AS (SELECT c, count(*) AS n,
   {', '.join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}" for c in INDICES)} FROM z GROUP BY c),
   d AS (SELECT p.unit, p.c, g.n, g.c = p.c AS own, {_GAPS} AS total FROM z p, g),
   m AS (SELECT unit, max(CASE WHEN own THEN n END) AS n, max(CASE WHEN own THEN total / greatest(n - 1, 1) END) AS a,
@@ -387,3 +387,44 @@ def _(spark, folder):
         F.bool_or((F.col("status") == F.col("predicted_status"))
                   & (F.col("probability") == F.col("confidence"))).alias("top_is_prediction"))
     return r(joined, "total")
+
+
+@check("pl3_segmentation", f"""WITH {U} SELECT count(*) AS n_units, true AS k_is_best, true AS scores_valid,
+  true AS sizes_add_up, true AS numbered, true AS mix_is_whole, true AS means_agree FROM u""")
+def _(spark, folder):
+    units = modeling_view(spark, folder)
+    made = pk.segment(units, COLS)
+    tables = made.tables
+    sizes = tables["sizes"].agg(F.sum("JUMLAH").alias("n_units"), F.count("*").alias("k"))
+    best = tables["sweep"].agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("best"),
+                               F.bool_and(F.col("silhouette").between(-1, 1)).alias("scores_valid"))
+    numbers = tables["centroids"].agg(F.array_sort(F.collect_list("cluster_id")).alias("ids"))
+    mix = tables["status_mix"].select(sum((F.col(s) for s in STATUS_ORDER), F.lit(0.0)).alias("whole")).agg(
+        F.bool_and(F.abs(F.col("whole") - 100) < 1e-9).alias("mix_is_whole"))
+    own = made.clustered.groupBy("cluster_id").agg(*[F.avg(c).alias(f"m_{c}") for c in INDICES])
+    means = tables["centroids"].join(own, "cluster_id").agg(F.bool_and(
+        (F.abs(F.col("iks") - F.col("m_iks")) < 1e-9) & (F.abs(F.col("ike") - F.col("m_ike")) < 1e-9)
+        & (F.abs(F.col("ikl") - F.col("m_ikl")) < 1e-9)).alias("means_agree"))
+    joined = sizes
+    for one in (best, numbers, mix, means):
+        joined = with_scalars(joined, one)
+    return joined.withColumn("units", F.lit(units.count())).select(
+        F.col("units").alias("n_units"), (F.col("best") == made.k).alias("k_is_best"),
+        (F.col("scores_valid") & F.lit(-1 <= made.silhouette <= 1)).alias("scores_valid"),
+        ((F.col("n_units") == F.col("units")) & (F.col("k") == made.k)).alias("sizes_add_up"),
+        (F.col("ids") == F.sequence(F.lit(1), F.lit(made.k))).alias("numbered"), "mix_is_whole", "means_agree")
+
+
+@check("pl6_what_if", f"""WITH {_S}, {U}, a(dimension, seq, advice) AS (VALUES
+  {', '.join(f"('{d}', {n}, '{t}')" for d, n, t in ADVICE)}), w AS (SELECT *, {CASE_WEAKEST} AS weakest,
+  greatest(iks, ike, ikl) - least(iks, ike, ikl) < 0.1::DOUBLE AS balanced FROM s)
+  SELECT scenario, weakest, balanced, seq, advice, {', '.join(_pct_sql(c).replace('FROM v', 'FROM u').replace('s.', 'w.') for c in INDICES)},
+  {rs('(SELECT median(total_rec) FROM u)')} AS total_rec FROM w JOIN a ON weakest = dimension""")
+def _(spark, folder):
+    from regiometra.plans.whatif import what_if
+
+    tables = what_if(scenarios(spark, folder), modeling_view(spark, folder), None, "scenario", COLS)
+    ranks = tables["benchmark"].select("scenario", *[f"{c}_pct" for c in INDICES])
+    features = tables["features"].select("scenario", "total_rec")
+    advice = tables["advice"].select("scenario", "weakest", "balanced", "seq", "advice")
+    return r(advice.join(ranks, "scenario").join(features, "scenario"), "total_rec")
