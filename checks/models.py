@@ -408,7 +408,7 @@ def _(spark, folder):
     joined = sizes
     for one in (best, numbers, mix, means):
         joined = with_scalars(joined, one)
-    return joined.withColumn("units", F.lit(units.count())).select(
+    return joined.withColumn("units", F.lit(units.count()).cast("bigint")).select(
         F.col("units").alias("n_units"), (F.col("best") == made.k).alias("k_is_best"),
         (F.col("scores_valid") & F.lit(-1 <= made.silhouette <= 1)).alias("scores_valid"),
         ((F.col("n_units") == F.col("units")) & (F.col("k") == made.k)).alias("sizes_add_up"),

@@ -145,6 +145,7 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None], replac
         if replace or "FileAlreadyExists" not in str(error.java_exception):
             raise
         files.delete(draft, False)
+    files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")).close()  # for those who wait for the usual mark
     return published(spark, path) or f"{path}/{version}"
 
 
