@@ -22,6 +22,8 @@ STEP, TAPS, BLOCK = 4, 3, 256
 WIDTH, LAGS, PAD = STEP * TAPS, 40, 512
 #: Bytes convolved at once.
 SLAB = 1 << 20
+#: Windows of a text that is too long to fit on as a whole.
+SAMPLE_WINDOWS = 8
 
 
 @dataclass
@@ -198,8 +200,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
                     key: str = "doc_id", text: str = "text") -> tuple[list[bytes], np.ndarray]:
     """Texts and labels to train on: at most ``rows_per_class`` of each class by hash of the key.
 
-    Documents of more than ``longest`` bytes are left out of the sample (never of scoring), which bounds its size.
-    Unlabelled and contradictory keys are not used; a key counts once, with its least text.
+    Of a text of more than ``longest`` bytes, windows spread evenly from its start to its end make up that many (scoring
+    reads it whole), which bounds the sample. Unlabelled and contradictory keys are not used; a key counts once, with its least text.
     """
     agreed = (labels.where(F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("k"))
               .agg(F.min(f"`{label}`").alias("y"), F.max(f"`{label}`").alias("z")).where("y = z AND k IS NOT NULL"))
@@ -207,7 +209,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     if not chosen:
         return [], np.zeros(0)
     picked = docs.sparkSession.createDataFrame([(r.k, int(r.y)) for r in chosen], "k bigint, y int")
-    rows = (docs.join(F.broadcast(picked), F.col(f"`{key}`") == F.col("k"))  # at most two classes of that many rows
-            .where(F.octet_length(f"`{text}`") <= longest).groupBy("k", "y").agg(F.min(f"`{text}`").alias("t")).collect())
+    least = (docs.join(F.broadcast(picked), F.col(f"`{key}`") == F.col("k"))  # at most two classes of that many rows
+             .where(F.col(f"`{text}`").isNotNull()).groupBy("k", "y").agg(F.min(f"`{text}`").cast("binary").alias("t")))
+    size, part = F.octet_length("t"), longest // SAMPLE_WINDOWS
+    windows = [F.substring("t", (F.floor((size - part) * i / (SAMPLE_WINDOWS - 1)) + 1).cast("int"), F.lit(part)) for i in range(SAMPLE_WINDOWS)]
+    rows = least.select("k", "y", F.when(size <= longest, F.col("t")).otherwise(F.concat(*windows)).alias("t")).collect()
     once = sorted(rows, key=lambda r: r.k)
-    return [r.t.encode() for r in once], np.array([r.y for r in once])
+    return [bytes(r.t) for r in once], np.array([r.y for r in once])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from regiometra.llm import convnet
 from regiometra.llm.registry import query, table
 
-#: The network is fitted on at most this many labelled documents of each class, none longer than this many bytes.
+#: The network is fitted on at most this many labelled documents of each class, and this many bytes of each.
 ROWS_PER_CLASS, LONGEST = 1_000, 32_768
 THRESHOLD = 0.7
 

@@ -72,3 +72,12 @@ def test_sample_takes_the_least_text_of_a_repeated_key(spark):
         docs = spark.createDataFrame(order, "doc_id bigint, text string")
         texts, y = convnet.labelled_sample(docs, labels, "quality", 5, 10)
         assert texts == [b"a", b"z"] and y.tolist() == [1, 0]
+
+
+def test_sample_of_a_long_text_covers_it_from_start_to_end(spark):
+    text = "".join(chr(97 + i // 100) for i in range(2000))
+    docs = spark.createDataFrame([(1, text), (2, "s" * 80)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    texts, y = convnet.labelled_sample(docs, labels, "quality", 5, 80)
+    at = [(2000 - 10) * i // 7 for i in range(8)]
+    assert texts == ["".join(text[a:a + 10] for a in at).encode(), b"s" * 80] and y.tolist() == [1, 0]
