@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from regiometra.functions import coerce_numeric
+from regiometra.session import stage
 from regiometra.sources.lines import read_lines
 
 BOM = "﻿"
@@ -24,6 +25,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+_FILES_TO_BROADCAST = 20_000
 _CSV = {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"}
 
 
@@ -45,7 +47,9 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     if broken:
         raise ValueError(f"cannot be read to the end: {', '.join(broken[:5])}")
     records = lines.where(F.rtrim(F.regexp_replace("line", "^\ufeff", "")) != "")
-    heads = records.groupBy("file_path").agg(F.min("row_no").alias("_head"))  # one row per file
+    heads = stage(records.groupBy("file_path").agg(F.min("row_no").alias("_head")), "csv-heads")  # one row per file
+    if heads.count() <= _FILES_TO_BROADCAST:
+        heads = F.broadcast(heads)
     body = records.join(heads, "file_path").where(F.col("row_no") > F.col("_head"))
     names = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in columns)
     return body.select(F.from_csv("line", names, _CSV).alias("_cells")).select("_cells.*")

@@ -248,3 +248,71 @@ def test_a_publication_replaces_the_former_at_once(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         st.publish(spark, path, lambda f: 1 / 0)
     assert st.published(spark, path) == second
+
+
+def _batches(rows, names, cuts):
+    import pyarrow as pa
+
+    whole = pa.Table.from_pylist([dict(zip(names, r)) for r in rows]).combine_chunks().to_batches()[0]
+    ends = [*cuts, len(rows)]
+    return [whole.slice(low, high - low) for low, high in zip([0, *cuts], ends)]
+
+
+def test_quotes_and_records_are_carried_over_the_batches_of_a_task():
+    from regiometra.sources.lines import _merged, _tagged
+
+    draw = random.Random(7)
+    for _ in range(50):
+        # Two splits, and a hole in the first one: three runs.
+        places = [(5, n) for n in range(5, 25)] + [(5, n) for n in range(40, 50)] + [(90, n) for n in range(90, 110)]
+        rows = [(*p, f"l{p[1]}", *draw.choice([(True, True), (False, False), (True, False), (False, True)])) for p in places]
+        cuts = sorted(draw.sample(range(1, len(rows)), 4))
+        tagged = [r for b in _tagged(iter(_batches(rows, ["_first", "_at", "line", "_out", "_in"], cuts))) for r in b.to_pylist()]
+        assert [(r["_at"], r["line"]) for r in tagged] == [(r[1], r[2]) for r in rows]
+        for start, kind in ((False, "out"), (True, "in")):
+            state, n, run = start, 0, None
+            for r in tagged:
+                if r["_at"] in (5, 40, 90):
+                    state, n, run = start, 0, r["_at"]
+                n += not state
+                assert (r["_run"], r[f"_from_{kind}"], r[f"_n_from_{kind}"]) == (run, state, n)
+                state = r["_in"] if state else r["_out"]
+        begins = [draw.random() < 0.3 for _ in rows]
+        lines = [("f", sum(begins[:i + 1]), 0, r[0], r[1], r[2], begins[i], i + 1 == len(rows) or begins[i + 1]) for i, r in enumerate(rows)]
+        names = ["file_path", "row_no", "_split", "_first", "_at", "line", "_begins", "_ends"]
+        merged = [r for b in _merged(iter(_batches(lines, names, cuts))) for r in b.to_pylist()]
+        wanted, last = [], None
+        for i, (_, number, _, _, at, line, begin, _) in enumerate(lines):
+            if begin or at in (5, 40, 90):
+                wanted.append([number, at, [], begin])
+            wanted[-1][2].append(line)
+            last = lines[i][-1]
+            wanted[-1][4:] = [last]
+        assert [(r["row_no"], r["_at"], r["line"], r["_whole"]) for r in merged] == [
+            (n, at, "\n".join(parts), begin and end) for n, at, parts, begin, end in wanted]
+
+
+def test_cells_are_not_shuffled_to_find_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("A,B\n1,x\n2,y\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = st.read_raw_csv(spark, str(tmp_path / "a.csv"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+
+
+def test_filled_rows_are_not_shuffled_to_meet_what_is_carried(spark):
+    from regiometra.operators.cleaning import forward_fill
+
+    rows = spark.createDataFrame([(None, 1, "a"), (None, 9, None), ("f", 2, None), ("f", 5, "b"), ("f", 30, None)], "file string, at int, cell string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = forward_fill(rows, ["cell"], "file", "at", chunk=10)
+        assert "SortMergeJoin" not in filled._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r["file"] or "", r["at"], r["cell"]) for r in filled.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == [("", 1, "a"), ("", 9, "a"), ("f", 2, None), ("f", 5, "b"), ("f", 30, "b")]
