@@ -12,6 +12,9 @@ from regiometra.functions import coerce_numeric, missing_to_null, normalize_code
 from regiometra.operators.aggregates import mode_of
 from regiometra.operators.quantiles import exact_quantiles
 from regiometra.operators.scalars import with_scalars
+from regiometra.session import stage
+
+_RUNS_TO_BROADCAST = 100_000
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -111,6 +114,9 @@ def forward_fill(df: DataFrame, columns: Sequence[str], partition: str, order: s
         F.col(f"`{partition}`").alias("_part"), F.col("_run").alias("_run_in"),
         *[F.last(f"_last_{i}", ignorenulls=True).over(earlier).alias(f"_in_{i}")
           for i in range(len(present))])
+    carried = stage(carried, "carried")
+    if carried.count() <= _RUNS_TO_BROADCAST:
+        carried = F.broadcast(carried)  # else the filled rows, which are many, would be shuffled to meet them
 
     within = (Window.partitionBy(*run_keys).orderBy(f"`{order}`")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
