@@ -9,32 +9,87 @@ Documents shorter than a window keep all bytes; see ``repeats`` for nulls, equal
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from regiometra.llm import repeats
 
+#: Suffixes from which on a group is taken in one step.
+MANY = 24
+
+
+def _first_of_runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
 
-def suffix_array(values: list[int]) -> list[int]:
-    """Starts of all suffixes in order; values are positive, and the end sorts before everything."""
-    text = [*values, 0]
+def suffix_array(values: list[int] | np.ndarray) -> list[int]:
+    """Starts of all suffixes in order; values are positive, and the end sorts before everything.
+
+    A group of ``MANY`` suffixes or more is taken in one step over arrays, a smaller one suffix by suffix on the same
+    memory.
+    """
+    text = np.append(np.asarray(values, np.int64), 0)
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, group, size = [0] * n, [0] * n, [0] * (n + 1)
-    head = 0
-    for rank, i in enumerate(order):
-        if text[i] != text[order[head]]:
-            head = rank
-        place[i], group[i] = rank, head
-        size[head] += 1
-    before = [-1] * n
+    order, place, group, size, before = (array("q", bytes(8 * (n + 1))) for _ in range(5))
+    orders, places, groups, sizes, befores = (np.frombuffer(a, np.int64) for a in (order, place, group, size, before))
+    orders[:n] = np.argsort(text, kind="stable")
+    heads = _first_of_runs(text[orders[:n]])
+    sizes[heads] = np.diff(heads, append=n)
+    places[orders[:n]], groups[orders[:n]] = np.arange(n), np.repeat(heads, sizes[heads])
+    group[n] = -1  # nothing lies before the text: -1, the last place of all lists
+    moving = np.zeros(n, bool)
+
+    def part(moved: np.ndarray) -> None:
+        """Moves suffixes to the end of their groups, where they are groups of their own."""
+        by = np.argsort(groups[moved], kind="stable")
+        moved = moved[by]
+        owner = groups[moved]
+        new = _first_of_runs(owner)
+        count, head = np.diff(new, append=len(owner)), owner[new]
+        sizes[head] -= count
+        start = head + sizes[head]
+        sizes[start] = count
+        target = np.arange(len(owner)) + np.repeat(start - new, count)
+        moving[moved] = True
+        target = target[~moving[orders[target]]]
+        moving[moved] = False
+        starts, at = np.repeat(start, count), places[moved]
+        outside = at < starts
+        enter, at, leave = moved[outside], at[outside], orders[target]
+        orders[target], orders[at] = enter, leave
+        places[enter], places[leave] = target, at
+        groups[moved] = starts
+
     high = n
     while high > 0:
         i = order[high - 1]
         low = group[i]
-        if high - low == 1:  # most groups: the one suffix before goes to the end of its group
+        if high - low >= MANY:
+            members = np.sort(orders[low:high])
+            j = members - 1
+            on = np.flatnonzero(groups[j] > low)
+            while len(on):
+                j[on] = befores[j[on]]
+                on = on[groups[j[on]] > low]
+            befores[members] = j
+            on = np.flatnonzero(groups[j] == low)
+            while len(on):  # through members of this group, twice as far each time
+                j[on] = befores[j[on]]
+                befores[members[on]] = j[on]
+                on = on[groups[j[on]] == low]
+            j = np.sort(j[j >= 0])
+            new = _first_of_runs(j)
+            j, times = j[new], np.diff(new, append=len(j))
+            for t in np.unique(times)[::-1].tolist():
+                part(j[times == t])
+            high = low
+            continue
+        if high - low == 1:  # the one suffix before goes to the end of its group
             j = i - 1
-            while j >= 0 and group[j] >= low:
+            while group[j] >= low:
                 j = before[j]
             before[i] = j
             if j >= 0:
@@ -49,11 +104,10 @@ def suffix_array(values: list[int]) -> list[int]:
                 size[end] = 1
             high = low
             continue
-        members = sorted(order[low:high])
         times: dict[int, int] = {}
-        for i in members:
+        for i in sorted(order[low:high]):
             j = i - 1
-            while j >= 0 and group[j] >= low:
+            while group[j] >= low:
                 j = before[j]
             before[i] = j
             if j >= 0:
@@ -74,17 +128,45 @@ def suffix_array(values: list[int]) -> list[int]:
                 group[j] = start = starts[group[j]]
                 size[start] += 1
         high = low
-    free, done, out = list(range(n + 1)), [False] * n, [0] * n
-    out[0], done[n - 1] = n - 1, True
-    for rank in range(n):
-        j = out[rank] - 1
-        while j >= 0 and not done[j]:
-            g = group[j]
-            out[free[g]] = j
-            free[g] += 1
-            done[j] = True
-            j = before[j]
-    return out[1:]
+    out, free, done = array("q", bytes(8 * n)), array("q", range(n + 1)), bytearray(n + 1)
+    outs, frees, dones = np.frombuffer(out, np.int64), np.frombuffer(free, np.int64), np.frombuffer(done, bool)
+    out[0], free[0], done[n - 1], done[n] = n - 1, 1, True, True
+    rank = 0
+    while rank < n:
+        high = free[group[out[rank]]]
+        if high - rank >= MANY:  # all that is known of a group
+            j, source = outs[rank:high] - 1, np.arange(high - rank)
+            sent = []
+            while len(j):
+                on = ~dones[j]
+                j, source = j[on], source[on]
+                sent.append((j, source))
+                j = befores[j]
+            j, source = (np.concatenate(x) for x in zip(*sent))
+            if len(sent) > 2:  # of several ways to a suffix the first in order counts
+                by = np.lexsort((source, j))
+                by = by[_first_of_runs(j[by])]
+                j = j[by][np.argsort(source[by], kind="stable")]
+            by = np.argsort(groups[j], kind="stable")
+            j = j[by]
+            owner = groups[j]
+            new = _first_of_runs(owner)
+            count, head = np.diff(new, append=len(owner)), owner[new]
+            outs[np.arange(len(owner)) + np.repeat(frees[head] - new, count)] = j
+            frees[head] += count
+            dones[j] = True
+            rank = high
+            continue
+        for i in out[rank:high]:
+            j = i - 1
+            while not done[j]:
+                g = group[j]
+                out[free[g]] = j
+                free[g] += 1
+                done[j] = True
+                j = before[j]
+        rank = high
+    return out[1:].tolist()
 
 
 def window_classes(contexts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +176,7 @@ def window_classes(contexts: list[bytes], window: int) -> tuple[np.ndarray, np.n
     break_at = np.cumsum(sizes + 1)[:-1] - 1
     values = joined.astype(np.int64) + 2
     values[break_at] = 1
-    order = np.array(suffix_array(values.tolist()), np.int64)
+    order = np.array(suffix_array(values), np.int64)
     starts = np.concatenate([[0], break_at + 1])
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)[:len(joined)]
     offset = np.arange(len(joined)) - starts[owner]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import sys
 import time
 
 import numpy as np
@@ -69,6 +70,34 @@ def test_suffix_array_of_random_strings():
         assert suffix_array.suffix_array(v) == sorted(range(len(v)), key=lambda i: v[i:])
 
 
+@pytest.mark.parametrize("many", [2, 5, 24])
+def test_suffix_array_by_whole_groups(monkeypatch, many):
+    monkeypatch.setattr(suffix_array, "MANY", many)
+    rng = random.Random(many)
+    for _ in range(500):
+        v = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randrange(40))] * rng.choice([1, 1, 4])
+        assert suffix_array.suffix_array(v) == sorted(range(len(v)), key=lambda i: v[i:])
+
+
+def test_suffix_array_takes_no_step_per_suffix_of_a_large_group():
+    rng, lines = random.Random(1), 0
+    one = [rng.randint(2, 200) for _ in range(60)]
+    values = (one + [1]) * 300
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        order = suffix_array.suffix_array(values)
+    finally:
+        sys.settrace(None)
+    assert order == sorted(range(len(values)), key=lambda i: values[i:])
+    assert lines < 3 * len(values)
+
+
 @pytest.mark.parametrize("limit", [2, 7, 1000])
 def test_trees_and_arrays_class_windows_alike(limit):
     rng = random.Random(2)
