@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from regiometra.operators.scalars import with_scalars
 
+_ROWS_TO_BROADCAST = 100_000
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A table, broadcast if it has no more than that many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
 
 def left_attach(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 match_flag: str | None = None) -> DataFrame:
@@ -47,9 +54,10 @@ def lookup_explode(df: DataFrame, column: str, lookup: DataFrame, lookup_key: st
                    values: Sequence[str]) -> DataFrame:
     """One row per lookup entry of the key; a key without entry gives no row.
 
-    Whether ``lookup`` is broadcast is left to its size.
+    ``lookup`` is broadcast behind a count, as Spark knows no size of a table made in the driver and would send all
+    rows of a key to one task; beyond the bound the join shuffles.
     """
-    entries = lookup.select(F.col(f"`{lookup_key}`").alias("_lookup"), *values)
+    entries = small(lookup.select(F.col(f"`{lookup_key}`").alias("_lookup"), *values), _ROWS_TO_BROADCAST)
     return (df.join(entries, F.col(f"`{column}`") == F.col("_lookup"))
             .drop("_lookup"))
 
@@ -62,4 +70,4 @@ def union_by_name(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 __all__ = ["left_attach", "lookup_explode", "match_coverage",
-           "reindex_to_domain", "union_by_name", "with_scalars"]
+           "reindex_to_domain", "small", "union_by_name", "with_scalars"]

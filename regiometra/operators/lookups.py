@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from regiometra.domain import NO_BAND
 from regiometra.functions import missing_to_null, order_bin
 from regiometra.operators.cleaning import as_number
+from regiometra.operators.joins import small
 from regiometra.session import stage
 
 _ROWS_TO_BROADCAST = 100_000
@@ -18,7 +19,7 @@ _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 def _small(table: DataFrame) -> DataFrame:
     """A stored table, broadcast if it is small enough."""
-    return F.broadcast(table) if table.count() <= _ROWS_TO_BROADCAST else table
+    return small(table, _ROWS_TO_BROADCAST)
 
 
 def band_from_table(df: DataFrame, score: str, status: str, bands: DataFrame, output: str, other: str = NO_BAND) -> DataFrame:

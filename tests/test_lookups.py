@@ -9,7 +9,7 @@ from checks.bindings import COLS, modeling_view
 from regiometra.domain import LAGGING, TOP_STATUS
 from regiometra.operators import aggregates as agg
 from regiometra.operators import cells as cl
-from regiometra.operators import lookups
+from regiometra.operators import joins, lookups
 from regiometra.plans.report import report
 
 BANDS = "status string, low double, high double, label string"
@@ -61,3 +61,18 @@ def test_a_report_is_one_scan(spark, monkeypatch):
     assert tuple(tables["kpis"].first()) == pytest.approx(tuple(plain))
     flagged = units.filter(F.col(COLS.status).isin(LAGGING)).count()
     assert tables["lagging_rate"].agg(F.sum("desa_tertinggal")).first()[0] == flagged
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_small_lookup_does_not_gather_rows_by_key(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(joins, "_ROWS_TO_BROADCAST", -1)
+    keys = ["a", "a", "b", "c", None]
+    df = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
+    entries = [("a", 1), ("a", 2), ("b", 1), ("b", 1), (None, 9), ("z", 3)]
+    found = joins.lookup_explode(df, "k", spark.createDataFrame(entries, "key string, seq int"), "key", ["seq"])
+    assert found.columns == ["id", "k", "seq"]
+    assert sorted(map(tuple, found.collect())) == sorted(
+        (i, k, n) for i, k in enumerate(keys) for key, n in entries if k is not None and k == key)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" not in plan and "BroadcastHashJoin" in plan) == broadcast
