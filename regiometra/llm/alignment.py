@@ -1,7 +1,7 @@
 """Alignment of two tokenizations of the same texts, with corpus-wide counts of linked ids.
 
-Both tokenizations of a document cover the same bytes. Their cumulative ends are held in dictionaries from end to
-index; the sorted common keys slice both id lists into groups. Inside a slice every pair of tokens whose byte ranges
+Both tokenizations of a document cover the same bytes. Their cumulative ends are held in hash sets; the sorted common
+ends slice both id lists into groups. Inside a slice every pair of tokens whose byte ranges
 overlap is a link: no end is common there, so each part between neighbouring ends of either side is one link.
 
 The documents of a task are cut into blocks of bounded bytes. A block sends its different id pairs once, with the
@@ -44,17 +44,34 @@ class Side:
         return np.array([len(p) for p in self.pieces], np.int64)
 
 
+class Spelling:
+    """The bytes of the ids of one tokenizer, one after another, to spell many ids at once."""
+
+    def __init__(self, side: Side):
+        self.sizes = side.sizes()
+        self.starts, self.data = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(side.pieces), np.uint8)
+
+    def spells(self, ids: np.ndarray, data: bytes) -> bool:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if len(data) != (ends[-1] if len(ids) else 0):
+            return False
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(len(data))
+        return self.data[at].tobytes() == data
+
+
 def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side end at or before each common end."""
-    at_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
-    at_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    return np.array([at_a[e] for e in common], np.int64), np.array([at_b[e] for e in common], np.int64)
+    both = set(ends_a.tolist()).intersection(ends_b.tolist())
+    common = np.sort(np.fromiter(both, np.int64, len(both)))
+    return np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of both tokens of every link, in order of their bytes."""
-    ends = np.union1d(ends_a, ends_b)
+    is_end = np.zeros(max((int(e[-1]) for e in (ends_a, ends_b) if len(e)), default=0) + 1, bool)
+    is_end[ends_a] = is_end[ends_b] = True
+    ends = np.flatnonzero(is_end)
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -89,18 +106,19 @@ def align(docs: DataFrame, sides: Callable[[], tuple[Side, Side]], key: str = "d
     counts = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
     tail = "groups_sha256 string" + "".join(f", {c} array<int>" for c in lists)
 
-    def tokens_of(whole: str | None, a_side: Side, b_side: Side) -> tuple[np.ndarray, np.ndarray]:
+    def tokens_of(whole: str | None, a_side: Side, b_side: Side, spelling: tuple[Spelling, Spelling]) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         if not whole:
             return none, none
         data = b" " + whole.encode()
         a, b = a_side.encode(" " + whole), b_side.encode(whole)
-        same = all(b"".join(map(side.pieces.__getitem__, ids.tolist())) == data for side, ids in ((a_side, a), (b_side, b)))
+        same = all(side.spells(ids, data) for side, ids in zip(spelling, (a, b)))
         return (a.astype(np.int64), b.astype(np.int64)) if same else (none, none)
 
     def align_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_side, b_side = sides()
-        size_a, size_b = a_side.sizes(), b_side.sizes()
+        spelling = Spelling(a_side), Spelling(b_side)
+        size_a, size_b = (s.sizes for s in spelling)
         notation, task, number = Notation(len(size_a), len(size_b)), TaskContext.get().partitionId(), 0
         keys, rows, codes, held = [], [], [], 0
 
@@ -129,7 +147,7 @@ def align(docs: DataFrame, sides: Callable[[], tuple[Side, Side]], key: str = "d
             start = 0
             for i, value in enumerate(batch.column(1)):
                 whole = value.as_py()
-                a, b = tokens_of(whole, a_side, b_side)
+                a, b = tokens_of(whole, a_side, b_side, spelling)
                 ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
                 cut_a, cut_b = slices(ends_a, ends_b)
                 at_a, at_b = links(ends_a, ends_b)

@@ -147,3 +147,37 @@ def test_groups_come_along(spark, both):
 def test_an_empty_table_gives_none(spark, both):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert alignment.align(empty, both).count() == 0
+
+
+def test_no_piece_is_looked_up_for_every_token(spark, libraries, both):
+    texts = ["aligned tokens overlap", "x ▁", "naïve\ttabs  and spaces ", None]
+
+    def sealed():
+        class Sealed(list):
+            def __getitem__(self, i):
+                raise AssertionError("one by one")
+
+        return tuple(alignment.Side(s.encode, Sealed(s.pieces)) for s in both())
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in alignment.align(docs, sealed).collect()}
+    for i, w in enumerate(brute(texts, libraries)):
+        assert tuple(rows[i][c] for c in COLUMNS) == w
+
+
+def test_steps_on_arrays_equal_plain_ones():
+    rng, pieces = np.random.default_rng(1), [b"", b"a", b"bc", "é".encode(), b"\0def"]
+    spelling = alignment.Spelling(alignment.Side(None, pieces))
+    for _ in range(200):
+        ids = rng.integers(0, len(pieces), rng.integers(0, 9))
+        data = b"".join(pieces[i] for i in ids)
+        assert spelling.spells(ids, data) and not spelling.spells(ids, data + b"a")
+        assert not data or not spelling.spells(ids, bytes([data[0] ^ 1]) + data[1:])
+    for _ in range(200):
+        ends = [np.sort(rng.choice(np.arange(1, 20), rng.integers(1, 15))) for _ in range(2)]
+        common = sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
+        for at, own in zip(alignment.slices(*ends), ends):
+            assert at.tolist() == [int((own <= e).sum()) for e in common]
+        union = sorted({*ends[0].tolist(), *ends[1].tolist()})
+        for at, own in zip(alignment.links(*ends), ends):
+            assert at.tolist() == [int((own < e).sum()) for e in union]
